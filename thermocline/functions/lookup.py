@@ -26,24 +26,27 @@ def count_at_most(sorted_array: Column, value: Column) -> Column:
 
 
 def nearest_entry(axis: Column, value: Column) -> Column:
-    """Closest axis entry; halfway goes to the lower one, outside values to the edge."""
+    """Closest axis entry; halfway goes to the lower one, outside values to the edge, NULL to NULL."""
     after = count_at_most(axis, value)
     lower = F.get(axis, F.greatest(after - 1, F.lit(0)))
     upper = F.get(axis, F.least(after, F.size(axis) - 1))
-    return F.when(upper == lower, lower).otherwise(
-        F.when((value - lower) / (upper - lower) <= 0.5, lower).otherwise(upper)
-    )
+    beyond_half = (upper != lower) & ((value - lower) / F.nullif(upper - lower, F.lit(0.0)) > 0.5)
+    return F.when(value.isNotNull(), F.when(beyond_half, upper).otherwise(lower))
 
 
 def linear_corners(axis: Column, value: Column) -> Column:
-    """Array of (entry, weight) for linear interpolation; values outside extrapolate."""
+    """Array of (entry, weight) for linear interpolation; values outside extrapolate.
+
+    A NULL value gives one corner at NULL, which meets no cell.
+    """
     first = F.greatest(F.least(count_at_most(axis, value) - 1, F.size(axis) - 2), F.lit(0))
     lower, upper = F.get(axis, first), F.get(axis, F.least(first + 1, F.size(axis) - 1))
-    share = (value - lower) / (upper - lower)
+    share = (value - lower) / F.nullif(upper - lower, F.lit(0.0))
 
     def corner(entry: Column, weight: Column) -> Column:
         return F.struct(entry.alias("at"), weight.alias("weight"))
 
+    single = F.array(corner(F.when(value.isNotNull(), lower), F.lit(1.0)))
     return F.when(
-        upper != lower, F.array(corner(lower, 1.0 - share), corner(upper, share))
-    ).otherwise(F.array(corner(lower, F.lit(1.0))))
+        value.isNotNull() & (upper != lower), F.array(corner(lower, 1.0 - share), corner(upper, share))
+    ).otherwise(single)

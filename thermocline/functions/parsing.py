@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from thermocline.functions.missing import nan_to_null
+
 # Accepted number text, metres per foot, severity limits in percent.
 NUMBER = r"^\s*\+?(\d+\.?\d*|\.\d+)([eE]\+?\d+)?\s*$"
 METRES_PER_FOOT = 0.3048
@@ -16,36 +20,56 @@ def to_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
-def _pair(low: Column, high: Column) -> Column:
-    whole = low.isNotNull() & high.isNotNull()
-    return F.struct(F.when(whole, low).alias("min"), F.when(whole, high).alias("max"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once: filters that Spark pushes through a projection
+    repeat its expressions, so these stay small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _struct_of(ends: Column) -> Column:
+    """Struct(min, max) from an array of two numbers; one missing end makes both NULL."""
+
+    def pair(e: Column) -> Column:
+        whole = F.get(e, 0).isNotNull() & F.get(e, 1).isNotNull()
+        return F.struct(F.when(whole, F.get(e, 0)).alias("min"), F.when(whole, F.get(e, 1)).alias("max"))
+
+    return _let(ends, pair)
+
+
+def _ends(text: Column) -> Column:
+    """Both ends of number-or-range text as an array."""
+
+    def ends(t: Column) -> Column:
+        pieces = F.transform(
+            F.slice(F.split(t, "-"), 1, 2), lambda piece: to_number(F.replace(piece, F.lit("%"), F.lit("")))
+        )
+        return F.when(F.contains(t, F.lit("-")), pieces).otherwise(
+            F.array_repeat(to_number(F.split_part(t, F.lit("%"), F.lit(1))), 2)
+        )
+
+    return _let(text, ends)
 
 
 def number_range(col: Column) -> Column:
     """(x, x) for a column that already holds numbers."""
-    number = col.cast("double")
-    return _pair(F.when(~F.isnan(number), number), F.when(~F.isnan(number), number))
+    return _struct_of(F.array_repeat(nan_to_null(col.cast("double")), 2))
 
 
 def parse_range(text: Column) -> Column:
     """``10-20`` gives (10, 20), ``12%`` gives (12, 12); text that does not parse gives a NULL pair."""
-    pieces = F.split(text, "-")
-    bare = F.transform(pieces, lambda piece: F.replace(piece, F.lit("%"), F.lit("")))
-    single = to_number(F.split_part(text, F.lit("%"), F.lit(1)))
-    ranged = F.contains(text, F.lit("-"))
-    return _pair(
-        F.when(ranged, to_number(F.get(bare, 0))).otherwise(single),
-        F.when(ranged, to_number(F.get(bare, 1))).otherwise(single),
-    )
+    return _struct_of(_ends(text))
 
 
 def clamp_percentage(pair: Column) -> Column:
-    return F.struct(
-        *[
-            F.when(pair[end].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(PERCENT_MAX), pair[end]))).alias(end)
-            for end in ("min", "max")
-        ]
-    )
+    def clamped(p: Column) -> Column:
+        return F.struct(
+            *[
+                F.when(p[end].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(PERCENT_MAX), p[end]))).alias(end)
+                for end in ("min", "max")
+            ]
+        )
+
+    return _let(pair, clamped)
 
 
 def parse_percentage(text: Column) -> Column:
@@ -58,17 +82,23 @@ def range_mean(pair: Column) -> Column:
 
 def parse_depth(text: Column) -> Column:
     """Depth text to metres: struct of min, max and mean."""
-    plain = F.regexp_replace(F.lower(text), r"[+<>]", "")
-    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"([\d.]+)"), 1), to_number)
-    count = F.size(numbers)
-    first = F.when(count.isin(1, 2), F.get(numbers, 0)) * METRES_PER_FOOT
-    last = F.when(count == 1, F.get(numbers, 0)).when(count == 2, F.get(numbers, 1)) * METRES_PER_FOOT
-    feet = _pair(first, last)
-    metres = parse_range(F.replace(F.replace(plain, F.lit("m"), F.lit("")), F.lit("ð"), F.lit("-")))
-    in_feet = F.contains(plain, F.lit("ft"))
-    low = F.when(in_feet, feet["min"]).otherwise(metres["min"])
-    high = F.when(in_feet, feet["max"]).otherwise(metres["max"])
-    return F.struct(low.alias("min"), high.alias("max"), ((low + high) / 2.0).alias("mean"))
+
+    def feet(t: Column) -> Column:
+        numbers = F.regexp_extract_all(t, F.lit(r"([\d.]+)"), 1)
+        metres = F.transform(numbers, lambda n: to_number(n) * METRES_PER_FOOT)
+        return _let(
+            metres,
+            lambda m: F.when(F.size(m) == 1, F.array_repeat(F.get(m, 0), 2)).when(F.size(m) == 2, m),
+        )
+
+    def ends(t: Column) -> Column:
+        plain = F.replace(F.replace(t, F.lit("m"), F.lit("")), F.lit("ð"), F.lit("-"))
+        return F.when(F.contains(t, F.lit("ft")), feet(t)).otherwise(_ends(plain))
+
+    def with_mean(p: Column) -> Column:
+        return F.struct(p["min"].alias("min"), p["max"].alias("max"), range_mean(p).alias("mean"))
+
+    return _let(_struct_of(_let(F.regexp_replace(F.lower(text), r"[+<>]", ""), ends)), with_mean)
 
 
 def severity_band(percent: Column) -> Column:

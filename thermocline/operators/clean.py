@@ -60,24 +60,28 @@ def _range_of(df: DataFrame, column: str) -> Column:
 
 
 def _with_percentage(df: DataFrame, column: str) -> DataFrame:
-    pair = parsing.clamp_percentage(_range_of(df, column))
-    return df.withColumns(
-        {
-            f"min_{column}": pair["min"],
-            f"max_{column}": pair["max"],
-            f"mean_{column}": parsing.range_mean(pair),
-        }
+    pair = F.col("_pair")
+    return (
+        df.withColumn("_pair", parsing.clamp_percentage(_range_of(df, column)))
+        .withColumns(
+            {f"min_{column}": pair["min"], f"max_{column}": pair["max"], f"mean_{column}": parsing.range_mean(pair)}
+        )
+        .drop("_pair")
     )
 
 
 def _with_depth(df: DataFrame) -> DataFrame:
     if isinstance(df.schema["depth"].dataType, T.StringType):
-        metres = parsing.parse_depth(F.col("depth"))
-        return df.withColumns(
-            {"min_depth": metres["min"], "max_depth": metres["max"], "depth": metres["mean"]}
-        )
-    pair = parsing.number_range(F.col("depth"))
-    return df.withColumns({"min_depth": pair["min"], "max_depth": pair["max"], "depth": pair["min"]})
+        parsed = parsing.parse_depth(F.col("depth"))
+    else:
+        pair = parsing.number_range(F.col("depth"))
+        parsed = F.struct(pair["min"].alias("min"), pair["max"].alias("max"), pair["min"].alias("mean"))
+    metres = F.col("_metres")
+    return (
+        df.withColumn("_metres", parsed)
+        .withColumns({"min_depth": metres["min"], "max_depth": metres["max"], "depth": metres["mean"]})
+        .drop("_metres")
+    )
 
 
 def clean_observations(df: DataFrame, use_month: bool = False) -> DataFrame:
