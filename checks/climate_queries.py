@@ -44,11 +44,11 @@ def case_study(spark, sf):
 
 @query(
     "e01_monthly_means",
-    "SELECT cell, month_end, round(sst, 6) AS sst, year, month FROM monthly",
+    "SELECT cell, month_end, round(sst, 8) AS sst, year, month FROM monthly",
     ["monthly"],
 )
 def monthly_means(spark, sf):
-    return rounded(clim.monthly_means(v.grid_daily(spark, sf), v.CELL))
+    return rounded(clim.monthly_means(v.grid_daily(spark, sf), v.CELL), 8)
 
 
 @query(
@@ -56,23 +56,23 @@ def monthly_means(spark, sf):
     """WITH sparse AS (SELECT cell, last_day(time) AS month_end, avg(sst) AS sst FROM grid_gaps WHERE year(time) % 2 = 1 GROUP BY 1, 2),
     span AS (SELECT last_day(unnest(generate_series(date_trunc('month', min(month_end)), max(month_end), INTERVAL 1 MONTH))::DATE) AS month_end FROM sparse),
     frame AS (SELECT cell, s.month_end FROM (SELECT DISTINCT cell FROM sparse), span s)
-    SELECT cell, f.month_end, round(sst, 6) AS sst, year(f.month_end)::INT AS year, month(f.month_end)::INT AS month
+    SELECT cell, f.month_end, round(sst, 8) AS sst, year(f.month_end)::INT AS year, month(f.month_end)::INT AS month
     FROM frame f LEFT JOIN sparse USING (cell, month_end)""",
     ["grid_gaps"],
 )
 def monthly_means_dense(spark, sf):
     odd_years = v.grid_gaps(spark, sf).where(F.col("year") % 2 == 1)
-    return rounded(clim.monthly_means(odd_years, v.CELL, densify=True))
+    return rounded(clim.monthly_means(odd_years, v.CELL, densify=True), 8)
 
 
 @query(
     "e02_monthly_climatology",
-    """SELECT cell, month(time)::INT AS month, round(avg(sst), 6) AS sst FROM grid_daily
+    """SELECT cell, month(time)::INT AS month, round(avg(sst), 8) AS sst FROM grid_daily
     WHERE year(time) BETWEEN 1995 AND 2001 GROUP BY 1, 2""",
     ["grid_daily"],
 )
 def monthly_climatology(spark, sf):
-    return rounded(clim.monthly_climatology(v.grid_daily(spark, sf), v.FIRST_YEAR, v.LAST_YEAR, v.CELL))
+    return rounded(clim.monthly_climatology(v.grid_daily(spark, sf), v.FIRST_YEAR, v.LAST_YEAR, v.CELL), 8)
 
 
 @query(
@@ -134,9 +134,9 @@ def month_of_mmm(spark, sf):
     return clim.month_of_mmm(v.monthly_lines(spark, sf), v.CELL)
 
 
-@query("e08_field_mean", "SELECT time, round(avg(sst), 6) AS sst FROM grid_daily GROUP BY time", ["grid_daily"])
+@query("e08_field_mean", "SELECT time, round(avg(sst), 8) AS sst FROM grid_daily GROUP BY time", ["grid_daily"])
 def field_mean(spark, sf):
-    return rounded(clim.field_mean(v.grid_daily(spark, sf)))
+    return rounded(clim.field_mean(v.grid_daily(spark, sf)), 8)
 
 
 @query(

@@ -137,15 +137,15 @@ def drop_empty(spark, sf):
     return filters.drop_empty_series(arrays).select("obs_id")
 
 
-_FEATURES = """round(avg(sst), 6) AS mean, round(stddev_pop(sst), 6) AS std, round(min(sst), 6) AS min, round(max(sst), 6) AS max,
-    round(quantile_cont(sst, 0.5), 6) AS median, round(quantile_cont(sst, 0.9), 6) AS p90,
-    round(quantile_cont(sst, 0.95), 6) AS p95, round(quantile_cont(sst, 0.99), 6) AS p99"""
+_FEATURES = """round(avg(sst), 8) AS mean, round(stddev_pop(sst), 8) AS std, round(min(sst), 8) AS min, round(max(sst), 8) AS max,
+    round(quantile_cont(sst, 0.5), 8) AS median, round(quantile_cont(sst, 0.9), 8) AS p90,
+    round(quantile_cont(sst, 0.95), 8) AS p95, round(quantile_cont(sst, 0.99), 8) AS p99"""
 
 
 @query("j01_j02_series_features", f"SELECT obs_id, {_FEATURES} FROM series GROUP BY obs_id", ["series"])
 def series_features(spark, sf):
     found = features.observation_features(v.dated(spark, sf), _grid(spark, sf))
-    return rounded(found.select("obs_id", *features.FEATURES))
+    return rounded(found.select("obs_id", *features.FEATURES), 8)
 
 
 _INDEXED = """WITH indexed AS (SELECT cell AS series_id, date_trunc('quarter', time)::DATE AS quarter, sst, time,
@@ -169,15 +169,15 @@ def _quarters(spark, sf):
 @query(
     "j03_j04_j05_j06_extended_features",
     _INDEXED
-    + f""", stats AS (SELECT series_id, quarter, {_FEATURES}, round(coalesce(regr_slope(sst, i), 0), 6) AS trend,
-      round(CASE WHEN max(len) >= 30 THEN avg(CASE WHEN i >= len - ceil(len / 3) THEN sst END) - avg(CASE WHEN i < len // 3 THEN sst END) ELSE 0 END, 6) AS recent_change,
+    + f""", stats AS (SELECT series_id, quarter, {_FEATURES}, round(coalesce(regr_slope(sst, i), 0), 8) AS trend,
+      round(CASE WHEN max(len) >= 30 THEN avg(CASE WHEN i >= len - ceil(len / 3) THEN sst END) - avg(CASE WHEN i < len // 3 THEN sst END) ELSE 0 END, 8) AS recent_change,
       count(sst) AS n FROM indexed GROUP BY ALL)
-    SELECT s.* EXCLUDE (n), round(heat_proxy, 6) AS heat_proxy, longest_run
+    SELECT s.* EXCLUDE (n), round(heat_proxy, 8) AS heat_proxy, longest_run
     FROM stats s JOIN heat USING (series_id, quarter) JOIN longest USING (series_id, quarter) WHERE n > 0""",
     ["grid_gaps"],
 )
 def extended_features(spark, sf):
-    return rounded(features.extract_features(_quarters(spark, sf), ("series_id", "quarter"), extended=True))
+    return rounded(features.extract_features(_quarters(spark, sf), ("series_id", "quarter"), extended=True), 8)
 
 
 @query(

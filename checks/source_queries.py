@@ -104,7 +104,7 @@ def filter_files(spark, sf):
 
 @query(
     "a10_a11_missing_years",
-    "SELECT cell, month_end, round(CASE WHEN year = 1996 THEN -sst ELSE sst END, 6) AS sst, year, month FROM monthly",
+    "SELECT cell, month_end, round(CASE WHEN year = 1996 THEN -sst ELSE sst END, 8) AS sst, year, month FROM monthly",
     ["monthly"],
 )
 def missing_years(spark, sf):
@@ -114,7 +114,7 @@ def missing_years(spark, sf):
     tables.write_missing_years(means.where("year = 1996").withColumn("sst", -F.col("sst")), path)
     tables.write_missing_years(means, path)
     tables.write_missing_years(means, path)
-    return rounded(tables.read_grid(spark, path))
+    return rounded(tables.read_grid(spark, path), 8)
 
 
 @query(
@@ -145,7 +145,7 @@ def _labelled(spark, sf):
 
 
 _LABEL = "CASE WHEN min_percent_bleached >= 20 THEN 1 ELSE 0 END"
-_STORED = f"""SELECT obs_id, {_LABEL} AS bleach_presence, round(avg(sst), 6) AS mean, round(max(sst), 6) AS max
+_STORED = f"""SELECT obs_id, {_LABEL} AS bleach_presence, round(avg(sst), 8) AS mean, round(max(sst), 8) AS max
     FROM series JOIN dated USING (obs_id) {{where}} GROUP BY ALL"""
 
 
@@ -159,7 +159,7 @@ def feature_store(spark, sf):
     kept = store.FeatureStore(spark, shared_folder(spark, "features"), "window-31")
     stored_features(obs.where("year < 1999"), grid, kept, 31)
     stored_features(obs, grid, kept, 31)
-    return rounded(kept.matrix(obs.where("year <> 1997")).select("obs_id", "bleach_presence", "mean", "max"))
+    return rounded(kept.matrix(obs.where("year <> 1997")).select("obs_id", "bleach_presence", "mean", "max"), 8)
 
 
 @query(
@@ -172,7 +172,7 @@ def feature_store_forced(spark, sf):
     kept = store.FeatureStore(spark, shared_folder(spark, "features"), "window-31")
     stored_features(obs, grid, kept, 31)
     stored_features(obs.where("year >= 1999"), grid, kept, 31, force=True)
-    return rounded(kept.read().select("obs_id", "bleach_presence", "mean", "max"))
+    return rounded(kept.read().select("obs_id", "bleach_presence", "mean", "max"), 8)
 
 
 @query(

@@ -43,13 +43,13 @@ def nearest_daily(spark, sf):
 @query(
     "d03_fill_mean",
     _SITE_STEPS
-    + """ SELECT site, t.time, round(coalesce(g.sst, m), 6) AS sst FROM near n CROSS JOIN steps t JOIN means USING (time)
+    + """ SELECT site, t.time, round(coalesce(g.sst, m), 8) AS sst FROM near n CROSS JOIN steps t JOIN means USING (time)
     LEFT JOIN grid_daily g ON g.latitude = _lat AND g.longitude = _lon AND g.time = t.time""",
     ["sites", "grid_daily"],
 )
 def fill_mean(spark, sf):
     grid = v.grid_daily(spark, sf).select("time", "latitude", "longitude", "sst")
-    return rounded(sampling.sample_grid(v.sites(spark, sf), grid, fill="mean").select("site", "time", "sst"))
+    return rounded(sampling.sample_grid(v.sites(spark, sf), grid, fill="mean").select("site", "time", "sst"), 8)
 
 
 @query(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from thermocline.functions.binding import let
+
 # Halvings per search; enough for 2**24 entries, far beyond any coordinate axis.
 HALVINGS = 24
 
@@ -25,13 +29,26 @@ def count_at_most(sorted_array: Column, value: Column) -> Column:
     return F.when(value.isNotNull(), found)
 
 
+def _around(axis: Column, value: Column, first: Callable[[Column], Column], body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of two neighbouring entries, the lower one at index ``first(count_at_most)``."""
+
+    def at(index: Column) -> Column:
+        upper = F.get(axis, F.least(index + 1, F.size(axis) - 1))
+        return let(
+            F.struct(F.get(axis, index).alias("lower"), upper.alias("upper")), lambda e: body(e["lower"], e["upper"])
+        )
+
+    return let(F.greatest(first(count_at_most(axis, value)), F.lit(0)), at)
+
+
 def nearest_entry(axis: Column, value: Column) -> Column:
     """Closest axis entry; halfway goes to the lower one, outside values to the edge, NULL to NULL."""
-    after = count_at_most(axis, value)
-    lower = F.get(axis, F.greatest(after - 1, F.lit(0)))
-    upper = F.get(axis, F.least(after, F.size(axis) - 1))
-    beyond_half = (upper != lower) & ((value - lower) / F.nullif(upper - lower, F.lit(0.0)) > 0.5)
-    return F.when(value.isNotNull(), F.when(beyond_half, upper).otherwise(lower))
+
+    def closer(lower: Column, upper: Column) -> Column:
+        share = (value - lower) / F.nullif(upper - lower, F.lit(0.0))
+        return F.when(share > 0.5, upper).otherwise(lower)
+
+    return F.when(value.isNotNull(), _around(axis, value, lambda n: n - 1, closer))
 
 
 def linear_corners(axis: Column, value: Column) -> Column:
@@ -39,14 +56,14 @@ def linear_corners(axis: Column, value: Column) -> Column:
 
     A NULL value gives one corner at NULL, which meets no cell.
     """
-    first = F.greatest(F.least(count_at_most(axis, value) - 1, F.size(axis) - 2), F.lit(0))
-    lower, upper = F.get(axis, first), F.get(axis, F.least(first + 1, F.size(axis) - 1))
-    share = (value - lower) / F.nullif(upper - lower, F.lit(0.0))
 
     def corner(entry: Column, weight: Column) -> Column:
         return F.struct(entry.alias("at"), weight.alias("weight"))
 
-    single = F.array(corner(F.when(value.isNotNull(), lower), F.lit(1.0)))
-    return F.when(
-        value.isNotNull() & (upper != lower), F.array(corner(lower, 1.0 - share), corner(upper, share))
-    ).otherwise(single)
+    def corners(lower: Column, upper: Column) -> Column:
+        share = (value - lower) / (upper - lower)
+        single = F.array(corner(F.when(value.isNotNull(), lower), F.lit(1.0)))
+        pair = F.array(corner(lower, 1.0 - share), corner(upper, share))
+        return F.when(value.isNotNull() & (upper != lower), pair).otherwise(single)
+
+    return _around(axis, value, lambda n: F.least(n - 1, F.size(axis) - 2), corners)

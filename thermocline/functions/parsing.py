@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from thermocline.functions.binding import let
 from thermocline.functions.missing import nan_to_null
 
 # Accepted number text, metres per foot, severity limits in percent.
@@ -20,12 +21,6 @@ def to_number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once: filters that Spark pushes through a projection
-    repeat its expressions, so these stay small."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _struct_of(ends: Column) -> Column:
     """Struct(min, max) from an array of two numbers; one missing end makes both NULL."""
 
@@ -33,7 +28,7 @@ def _struct_of(ends: Column) -> Column:
         whole = F.get(e, 0).isNotNull() & F.get(e, 1).isNotNull()
         return F.struct(F.when(whole, F.get(e, 0)).alias("min"), F.when(whole, F.get(e, 1)).alias("max"))
 
-    return _let(ends, pair)
+    return let(ends, pair)
 
 
 def _ends(text: Column) -> Column:
@@ -47,7 +42,7 @@ def _ends(text: Column) -> Column:
             F.array_repeat(to_number(F.split_part(t, F.lit("%"), F.lit(1))), 2)
         )
 
-    return _let(text, ends)
+    return let(text, ends)
 
 
 def number_range(col: Column) -> Column:
@@ -69,7 +64,7 @@ def clamp_percentage(pair: Column) -> Column:
             ]
         )
 
-    return _let(pair, clamped)
+    return let(pair, clamped)
 
 
 def parse_percentage(text: Column) -> Column:
@@ -86,7 +81,7 @@ def parse_depth(text: Column) -> Column:
     def feet(t: Column) -> Column:
         numbers = F.regexp_extract_all(t, F.lit(r"([\d.]+)"), 1)
         metres = F.transform(numbers, lambda n: to_number(n) * METRES_PER_FOOT)
-        return _let(
+        return let(
             metres,
             lambda m: F.when(F.size(m) == 1, F.array_repeat(F.get(m, 0), 2)).when(F.size(m) == 2, m),
         )
@@ -98,7 +93,7 @@ def parse_depth(text: Column) -> Column:
     def with_mean(p: Column) -> Column:
         return F.struct(p["min"].alias("min"), p["max"].alias("max"), range_mean(p).alias("mean"))
 
-    return _let(_struct_of(_let(F.regexp_replace(F.lower(text), r"[+<>]", ""), ends)), with_mean)
+    return let(_struct_of(let(F.regexp_replace(F.lower(text), r"[+<>]", ""), ends)), with_mean)
 
 
 def severity_band(percent: Column) -> Column:

@@ -24,8 +24,8 @@ from thermocline.operators.split import stratified_split
 MODEL_TYPES = ("random_forest", "logistic", "svm")
 # Forest size and depth, iteration limit, hidden layer width, seed.
 TREES, DEPTH, ITERATIONS, HIDDEN, SEED = 100, 10, 1000, 64, 42
-# Random cosine features that stand in for the radial kernel.
-KERNEL_FEATURES = 64
+# Random cosine features that stand in for the radial kernel, and the solver's iteration limit there.
+KERNEL_FEATURES, MARGIN_ITERATIONS = 64, 100
 _INPUT = "features"
 
 
@@ -79,7 +79,7 @@ def _margin_stages(train: DataFrame, inputs: Sequence[str], kernel_features: int
     ]
     lift = SQLTransformer(statement=f"SELECT *, {', '.join(cosines)} FROM __THIS__")
     assemble = VectorAssembler(inputCols=lifted, outputCol=_INPUT)
-    settings = {"maxIter": ITERATIONS, "regParam": 1.0 / moments["rows"], **params}
+    settings = {"maxIter": MARGIN_ITERATIONS, "regParam": 1.0 / moments["rows"], **params}
     margin = LinearSVC(featuresCol=_INPUT, rawPredictionCol="_margin", predictionCol="_side", **settings)
     calibrate = LogisticRegression(featuresCol="_margin", maxIter=ITERATIONS)
     return [lift, assemble, margin, calibrate]
