@@ -1,4 +1,4 @@
-"""Binary search in a sorted array column: the nearest-coordinate lookup without a range join."""
+"""Places in a sorted array column: the nearest-coordinate lookup without a range join."""
 
 from __future__ import annotations
 
@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 
 from thermocline.functions.binding import let
 
-# Halvings per search; enough for 2**24 entries, far beyond any coordinate axis.
-HALVINGS = 24
-
 
 def count_at_most(sorted_array: Column, value: Column) -> Column:
-    """How many entries of a sorted array are <= value (NULL for a NULL value)."""
+    """How many entries of a sorted array are <= value (NULL for a NULL value).
+
+    The place in an evenly spaced array is tried first; where that misses, a binary search decides.
+    """
+    size, first = F.size(sorted_array), F.get(sorted_array, F.lit(0))
+    step = F.nullif(F.get(sorted_array, size - 1) - first, F.lit(0.0)) / (size - 1)
+    guess = F.greatest(F.lit(0), F.least(F.floor((value - first) / step), (size - 1).cast("bigint"))).cast("int")
+
+    def checked(g: Column) -> Column:
+        holds = (F.get(sorted_array, g) <= value) & F.coalesce(F.get(sorted_array, g + 1) > value, F.lit(True))
+        return F.when(holds, g + 1).otherwise(_search(sorted_array, value))
+
+    return F.when(value.isNotNull(), F.when(value < first, 0).otherwise(let(guess, checked)))
+
 
+def _search(sorted_array: Column, value: Column) -> Column:
     def halve(bounds: Column, _: Column) -> Column:
-        middle = F.floor((bounds["lo"] + bounds["hi"]) / 2).cast("int")
+        middle = F.shiftright(bounds["lo"] + bounds["hi"], 1)
         open_, below = bounds["lo"] < bounds["hi"], F.get(sorted_array, middle) <= value
         return F.struct(
             F.when(open_ & below, middle + 1).otherwise(bounds["lo"]).alias("lo"),
@@ -25,8 +36,8 @@ def count_at_most(sorted_array: Column, value: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("lo"), F.size(sorted_array).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda bounds: bounds["lo"])
-    return F.when(value.isNotNull(), found)
+    halvings = F.ceil(F.log2(F.size(sorted_array) + 1)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), halvings), start, halve, lambda bounds: bounds["lo"])
 
 
 def _around(axis: Column, value: Column, first: Callable[[Column], Column], body: Callable[[Column, Column], Column]) -> Column:

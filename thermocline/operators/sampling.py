@@ -57,7 +57,8 @@ def corner_cells(points: DataFrame, grid: DataFrame) -> DataFrame:
         }
     )
     placed = placed.withColumn("_corners", F.size("_lats") * F.size("_lons")).drop("_axes")
-    placed = placed.withColumn("_a", F.explode("_lats")).withColumn("_b", F.explode("_lons"))
+    # Never empty; the outer form keeps Spark from adding size filters that repeat the lookup.
+    placed = placed.withColumn("_a", F.explode_outer("_lats")).withColumn("_b", F.explode_outer("_lons"))
     return placed.withColumns(
         {
             "_lat": F.col("_a.at"),
