@@ -9,39 +9,48 @@ from pyspark.sql import functions as F
 
 from thermocline.functions.binding import let
 
+Lookup = Callable[[Column, Column], Column]
+
+
+def _bound(axis: Column, value: Column, body: Lookup) -> Column:
+    """``body(axis, value)`` with both written once, whatever they stand for in the caller's plan."""
+    return let(F.struct(axis.alias("axis"), value.alias("value")), lambda b: body(b["axis"], b["value"]))
+
 
 def count_at_most(sorted_array: Column, value: Column) -> Column:
-    """How many entries of a sorted array are <= value (NULL for a NULL value).
+    """How many entries of a sorted array are <= value (NULL for a NULL value)."""
+    return _bound(sorted_array, value, _count)
 
-    The place in an evenly spaced array is tried first; where that misses, a binary search decides.
-    """
-    size, first = F.size(sorted_array), F.get(sorted_array, F.lit(0))
-    step = F.nullif(F.get(sorted_array, size - 1) - first, F.lit(0.0)) / (size - 1)
+
+def _count(axis: Column, value: Column) -> Column:
+    """The place in an evenly spaced array is tried first; where that misses, a binary search decides."""
+    size, first = F.size(axis), F.get(axis, F.lit(0))
+    step = F.nullif(F.get(axis, size - 1) - first, F.lit(0.0)) / (size - 1)
     guess = F.greatest(F.lit(0), F.least(F.floor((value - first) / step), (size - 1).cast("bigint"))).cast("int")
 
     def checked(g: Column) -> Column:
-        holds = (F.get(sorted_array, g) <= value) & F.coalesce(F.get(sorted_array, g + 1) > value, F.lit(True))
-        return F.when(holds, g + 1).otherwise(_search(sorted_array, value))
+        holds = (F.get(axis, g) <= value) & F.coalesce(F.get(axis, g + 1) > value, F.lit(True))
+        return F.when(holds, g + 1).otherwise(_search(axis, value))
 
     return F.when(value.isNotNull(), F.when(value < first, 0).otherwise(let(guess, checked)))
 
 
-def _search(sorted_array: Column, value: Column) -> Column:
+def _search(axis: Column, value: Column) -> Column:
     def halve(bounds: Column, _: Column) -> Column:
         middle = F.shiftright(bounds["lo"] + bounds["hi"], 1)
-        open_, below = bounds["lo"] < bounds["hi"], F.get(sorted_array, middle) <= value
+        open_, below = bounds["lo"] < bounds["hi"], F.get(axis, middle) <= value
         return F.struct(
             F.when(open_ & below, middle + 1).otherwise(bounds["lo"]).alias("lo"),
             F.when(open_ & ~below, middle).otherwise(bounds["hi"]).alias("hi"),
         )
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(sorted_array).alias("hi"))
-    halvings = F.ceil(F.log2(F.size(sorted_array) + 1)).cast("int")
+    start = F.struct(F.lit(0).alias("lo"), F.size(axis).alias("hi"))
+    halvings = F.ceil(F.log2(F.size(axis) + 1)).cast("int")
     return F.aggregate(F.sequence(F.lit(1), halvings), start, halve, lambda bounds: bounds["lo"])
 
 
-def _around(axis: Column, value: Column, first: Callable[[Column], Column], body: Callable[[Column, Column], Column]) -> Column:
-    """``body`` of two neighbouring entries, the lower one at index ``first(count_at_most)``."""
+def _around(axis: Column, place: Column, body: Lookup) -> Column:
+    """``body`` of two neighbouring entries, the lower one at index ``place``."""
 
     def at(index: Column) -> Column:
         upper = F.get(axis, F.least(index + 1, F.size(axis) - 1))
@@ -49,17 +58,20 @@ def _around(axis: Column, value: Column, first: Callable[[Column], Column], body
             F.struct(F.get(axis, index).alias("lower"), upper.alias("upper")), lambda e: body(e["lower"], e["upper"])
         )
 
-    return let(F.greatest(first(count_at_most(axis, value)), F.lit(0)), at)
+    return let(F.greatest(place, F.lit(0)), at)
 
 
 def nearest_entry(axis: Column, value: Column) -> Column:
     """Closest axis entry; halfway goes to the lower one, outside values to the edge, NULL to NULL."""
 
-    def closer(lower: Column, upper: Column) -> Column:
-        share = (value - lower) / F.nullif(upper - lower, F.lit(0.0))
-        return F.when(share > 0.5, upper).otherwise(lower)
+    def nearest(a: Column, v: Column) -> Column:
+        def closer(lower: Column, upper: Column) -> Column:
+            share = (v - lower) / F.nullif(upper - lower, F.lit(0.0))
+            return F.when(share > 0.5, upper).otherwise(lower)
+
+        return F.when(v.isNotNull(), _around(a, _count(a, v) - 1, closer))
 
-    return F.when(value.isNotNull(), _around(axis, value, lambda n: n - 1, closer))
+    return _bound(axis, value, nearest)
 
 
 def linear_corners(axis: Column, value: Column) -> Column:
@@ -71,10 +83,13 @@ def linear_corners(axis: Column, value: Column) -> Column:
     def corner(entry: Column, weight: Column) -> Column:
         return F.struct(entry.alias("at"), weight.alias("weight"))
 
-    def corners(lower: Column, upper: Column) -> Column:
-        share = (value - lower) / (upper - lower)
-        single = F.array(corner(F.when(value.isNotNull(), lower), F.lit(1.0)))
-        pair = F.array(corner(lower, 1.0 - share), corner(upper, share))
-        return F.when(value.isNotNull() & (upper != lower), pair).otherwise(single)
+    def surrounding(a: Column, v: Column) -> Column:
+        def corners(lower: Column, upper: Column) -> Column:
+            share = (v - lower) / (upper - lower)
+            single = F.array(corner(F.when(v.isNotNull(), lower), F.lit(1.0)))
+            pair = F.array(corner(lower, 1.0 - share), corner(upper, share))
+            return F.when(v.isNotNull() & (upper != lower), pair).otherwise(single)
+
+        return _around(a, F.least(_count(a, v) - 1, F.size(a) - 2), corners)
 
-    return _around(axis, value, lambda n: F.least(n - 1, F.size(axis) - 2), corners)
+    return _bound(axis, value, surrounding)
