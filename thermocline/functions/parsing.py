@@ -75,6 +75,11 @@ def range_mean(pair: Column) -> Column:
     return (pair["min"] + pair["max"]) / 2.0
 
 
+def with_mean(pair: Column) -> Column:
+    """Struct of min, max and mean."""
+    return let(pair, lambda p: F.struct(p["min"].alias("min"), p["max"].alias("max"), range_mean(p).alias("mean")))
+
+
 def parse_depth(text: Column) -> Column:
     """Depth text to metres: struct of min, max and mean."""
 
@@ -90,10 +95,7 @@ def parse_depth(text: Column) -> Column:
         plain = F.replace(F.replace(t, F.lit("m"), F.lit("")), F.lit("ð"), F.lit("-"))
         return F.when(F.contains(t, F.lit("ft")), feet(t)).otherwise(_ends(plain))
 
-    def with_mean(p: Column) -> Column:
-        return F.struct(p["min"].alias("min"), p["max"].alias("max"), range_mean(p).alias("mean"))
-
-    return let(_struct_of(let(F.regexp_replace(F.lower(text), r"[+<>]", ""), ends)), with_mean)
+    return with_mean(_struct_of(let(F.regexp_replace(F.lower(text), r"[+<>]", ""), ends)))
 
 
 def severity_band(percent: Column) -> Column:

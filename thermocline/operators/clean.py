@@ -62,9 +62,9 @@ def _range_of(df: DataFrame, column: str) -> Column:
 def _with_percentage(df: DataFrame, column: str) -> DataFrame:
     pair = F.col("_pair")
     return (
-        df.withColumn("_pair", parsing.clamp_percentage(_range_of(df, column)))
+        df.withColumn("_pair", parsing.with_mean(parsing.clamp_percentage(_range_of(df, column))))
         .withColumns(
-            {f"min_{column}": pair["min"], f"max_{column}": pair["max"], f"mean_{column}": parsing.range_mean(pair)}
+            {f"min_{column}": pair["min"], f"max_{column}": pair["max"], f"mean_{column}": pair["mean"]}
         )
         .drop("_pair")
     )
@@ -74,8 +74,7 @@ def _with_depth(df: DataFrame) -> DataFrame:
     if isinstance(df.schema["depth"].dataType, T.StringType):
         parsed = parsing.parse_depth(F.col("depth"))
     else:
-        pair = parsing.number_range(F.col("depth"))
-        parsed = F.struct(pair["min"].alias("min"), pair["max"].alias("max"), pair["min"].alias("mean"))
+        parsed = parsing.with_mean(parsing.number_range(F.col("depth")))
     metres = F.col("_metres")
     return (
         df.withColumn("_metres", parsed)
