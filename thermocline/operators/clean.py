@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from thermocline.functions import parsing
 from thermocline.functions.missing import without_nan
 
+# Names of the built-in cleaners.
 _CLEANERS: dict[str, Callable[[Column], Column]] = {
     "float_with_ranges": parsing.parse_range,
     "depth": parsing.parse_depth,

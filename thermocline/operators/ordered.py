@@ -23,7 +23,7 @@ def position_in_slabs(
 ) -> DataFrame:
     """1-based rank of each row in its key, and the key's row count as ``total``.
 
-    ``slab`` must be non-decreasing in ``order``.
+    ``slab`` must be non-decreasing in ``order``; keys must not be NULL.
     """
     cut = df.withColumn("_slab", slab)
     by = [*keys, "_slab"]
@@ -66,7 +66,8 @@ def running_totals(
 ) -> DataFrame:
     """Totals of ``sums`` over all rows of the group with a higher ``order`` value, and group totals.
 
-    Adds ``before_<c>`` and ``total_<c>``. ``order`` must be unique in its group (aggregate first).
+    Adds ``before_<c>`` and ``total_<c>``. ``order`` must be unique in its group (aggregate first);
+    group columns must not be NULL.
     Slab limits are quantiles of ``order``, read once as a scalar subquery, so slabs stay even.
     """
     shares = F.array(*[F.lit(i / slabs) for i in range(1, slabs)])

@@ -12,6 +12,7 @@ from thermocline.operators.polygons import points_in_polygons
 from thermocline.operators.sampling import sample_grid
 from thermocline.operators.summaries import years_with_enough
 
+# Names of the steps, the essential ones in their order.
 ESSENTIAL = (
     "essential_nans",
     "bleaching_nans",
