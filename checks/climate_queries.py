@@ -77,12 +77,12 @@ def monthly_climatology(spark, sf):
 
 @query(
     "e03_regress_climatology",
-    "SELECT cell, month, round(slope, 6) AS slope, round(intercept, 4) AS intercept FROM lines",
+    "SELECT cell, month, round(slope, 8) AS slope, round(intercept, 7) AS intercept FROM lines",
     ["lines"],
 )
 def regress(spark, sf):
     lines = clim.regress_climatology(clim.monthly_means(v.grid_daily(spark, sf), v.CELL), keys=v.CELL)
-    return lines.select("cell", "month", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return lines.select("cell", "month", F.round("slope", 8).alias("slope"), F.round("intercept", 7).alias("intercept"))
 
 
 @query(
@@ -92,41 +92,41 @@ def regress(spark, sf):
     axis AS (SELECT month, avg(year) AS mx, var_pop(year) AS vx FROM (SELECT DISTINCT month, year FROM m) GROUP BY month),
     fit AS (SELECT cell, month, covar_pop(sst, year) / any_value(vx) AS slope, avg(sst) AS my, any_value(mx) AS mx
       FROM m JOIN axis USING (month) GROUP BY cell, month)
-    SELECT cell, month, round(slope, 6) AS slope, round(my - slope * mx, 4) AS intercept FROM fit""",
+    SELECT cell, month, round(slope, 8) AS slope, round(my - slope * mx, 7) AS intercept FROM fit""",
     ["grid_gaps"],
 )
 def regress_reference(spark, sf):
     grid = v.grid_gaps(spark, sf).where(~((F.col("cell") % 3 == 0) & (F.col("year") == 1998)))
     lines = clim.regress_climatology(clim.monthly_means(grid, v.CELL), "reference", v.CELL)
-    return lines.select("cell", "month", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return lines.select("cell", "month", F.round("slope", 8).alias("slope"), F.round("intercept", 7).alias("intercept"))
 
 
 @query(
     "e04_predict_climatology",
-    "SELECT cell, month, round(prediction, 6) AS prediction FROM lines",
+    "SELECT cell, month, round(prediction, 7) AS prediction FROM lines",
     ["lines"],
 )
 def predict(spark, sf):
-    return rounded(heat_stress.climatology(v.grid_daily(spark, sf), v.CELL, **SETTINGS).select("cell", "month", "prediction"))
+    return rounded(heat_stress.climatology(v.grid_daily(spark, sf), v.CELL, **SETTINGS).select("cell", "month", "prediction"), 7)
 
 
 @query(
     "e05_epoch_midpoint",
     """WITH years AS (SELECT DISTINCT year FROM grid_daily WHERE year IN (1995, 1996, 1997, 1998, 1999, 2000, 2001)),
     mid AS (SELECT avg(year) AS x FROM years)
-    SELECT cell, month, round(regr_intercept(sst, year) + regr_slope(sst, year) * any_value(x), 6) AS prediction
+    SELECT cell, month, round(regr_intercept(sst, year) + regr_slope(sst, year) * any_value(x), 7) AS prediction
     FROM monthly, mid GROUP BY cell, month""",
     ["monthly"],
 )
 def epoch_midpoint(spark, sf):
     target = clim.epoch_midpoint(range(v.FIRST_YEAR, v.LAST_YEAR + 1))
     lines = heat_stress.climatology(v.grid_daily(spark, sf), v.CELL, years=None, target=target)
-    return rounded(lines.select("cell", "month", "prediction"))
+    return rounded(lines.select("cell", "month", "prediction"), 7)
 
 
-@query("e06_mmm", "SELECT cell, round(mmm, 6) AS mmm FROM static", ["static"])
+@query("e06_mmm", "SELECT cell, round(mmm, 7) AS mmm FROM static", ["static"])
 def mmm(spark, sf):
-    return rounded(clim.mmm(v.monthly_lines(spark, sf), v.CELL))
+    return rounded(clim.mmm(v.monthly_lines(spark, sf), v.CELL), 7)
 
 
 @query("e07_month_of_mmm", "SELECT cell, month_of_mmm FROM static", ["static"])
