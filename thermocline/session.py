@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import SparkSession
@@ -21,7 +22,21 @@ def local_session(cpus: int | str = 8, name: str = "thermocline") -> SparkSessio
     )
 
 
+def _local_root(spark: SparkSession) -> str:
+    """A folder that goes with the process; only for a session that is one process."""
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    base = context.getConf().get("spark.local.dir", "/tmp").split(",")[0]
+    root = f"{base.rstrip('/')}/thermocline-{context.applicationId}"
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="thermocline-")
+    """A fresh path under ``spark.checkpoint.dir``.
+
+    Only a ``local`` session, whose driver and executors are one process, may leave it unset.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
