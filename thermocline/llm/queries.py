@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermocline.llm import mixing, sharding, token_files
+from thermocline.llm import mixing, quality, sharding, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,16 @@ def byte_balanced_shards(spark, sf):
 def token_id_files(spark, sf):
     tokens = token_files.token_table(table(spark, sf, "documents").select("doc_id", "text"))
     return tokens.withColumnRenamed("key", "doc_id")
+
+
+@query("op2_robust_outliers")
+def robust_outliers(spark, sf):
+    judged = quality.quality_rules(table(spark, sf, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
+@query("op6_simhash_components")
+def simhash_components(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))

@@ -48,7 +48,7 @@ FRAMES = T.StructType(
     ]
 )
 DOCUMENTS = "part int, key long, before long, n_tokens long, ids_crc32 long"
-SLICE = 512  # texts that are encoded together
+SLICE = 4096  # texts that are encoded together
 
 
 def _lists(rows: list) -> pa.Array:
@@ -130,13 +130,14 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", vocabulary: st
     """Encode every whole text of ``docs`` and write its ids to the folder ``path``, in ascending order of ``key``.
 
     A null text counts as empty; each document ends with ``end_id``. Null keys come first and are kept as the key -1, rows with one key stand
-    in an order by their text, and other columns are ignored. An empty table gives an empty folder of frames.
+    in an order by a hash of their text, and other columns are ignored. An empty table gives an empty folder of frames.
     Texts are shuffled once, by ranges of the key; the ids are stored between counting and coding, so texts are encoded
     once. The frequency table covers all ids of all documents and has a row per id of the vocabulary at most.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange("_k", "text").sortWithinPartitions("_k", "text")
+    rows = rows.withColumn("_h", F.xxhash64("text"))  # never the text itself: range bounds are sampled on the driver
+    ranged = rows.repartitionByRange("_k", "_h").sortWithinPartitions("_k", "_h")
     dealt = ranged.select(F.spark_partition_id().alias("part"), F.coalesce("_k", F.lit(-1)).alias("key"), "text")
     tokens = stored(dealt.mapInArrow(_tokens(vocabulary or vocabulary_path(), end_id), TOKENS), "token-ids")
     counted = tokens.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))

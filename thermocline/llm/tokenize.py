@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,8 @@ import pyarrow.compute as pc
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # White space that is not a single space between two other characters.
 ODD_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]{2}|^[\s\x0B\x1C-\x1F\x{85}\p{Z}]|[\s\x0B\x1C-\x1F\x{85}\p{Z}]$|<\|"
-MOST_KNOWN = 600_000
+MARKS = ".,!?;:"
+MOST_KNOWN = 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,42 +38,48 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.pieces = regex.compile(PIECES)
+        self.split = regex.compile(PIECES)
         self.letters = _byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.stems: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 20, dtype=np.uint16)
-        self.at, self.ends = 0, [0]
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.stems.get(piece)
-        if ids is None:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.stems[piece] = [t.id for t in self.model.tokenize(mapped)]
-        return ids
-
-    def _place(self, unit: str) -> int:
-        """Number of a stretch among the known ones."""
-        place = self.known.get(unit)
+        self.spaced: dict[str, int] = {}  # stretch after a space -> its number
+        self.pieces: dict[str, int] = {}  # piece of the split pattern -> its number
+        self.flat, self.ends = array("H"), array("q", [0])
+
+    def _piece(self, piece: str) -> int:
+        place = self.pieces.get(piece)
         if place is None:
-            if unit[1:].isalpha() and unit[0] == " ":
-                ids = self._piece(unit)
+            if piece.isascii() and piece[1:].isalpha():
+                mapped = "\u0120" + piece[1:] if piece[0] == " " else piece
             else:
-                ids = [i for p in self.pieces.findall(unit) for i in self._piece(p)]
-            if self.at + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), dtype=np.uint16)])
-            self.flat[self.at : self.at + len(ids)] = ids
-            self.at += len(ids)
-            place = self.known[unit] = len(self.ends) - 1
-            self.ends.append(self.at)
+                mapped = piece.encode().decode("latin-1").translate(self.letters)
+            self.flat.extend([t.id for t in self.model.tokenize(mapped)])
+            self.ends.append(len(self.flat))
+            place = self.pieces[piece] = len(self.ends) - 2
+        return place
+
+    def _unit(self, unit: str) -> int:
+        """Number of a stretch, put together from its pieces."""
+        if unit[-1:] in MARKS and unit[:1] == " " and unit[1:-1].isalpha():
+            parts = (unit[:-1], unit[-1])
+        else:
+            parts = self.split.findall(unit)
+        if len(parts) == 1:
+            return self._piece(parts[0])
+        places = [self._piece(p) for p in parts]
+        for k in places:
+            self.flat.extend(self.flat[self.ends[k] : self.ends[k + 1]])
+        self.ends.append(len(self.flat))
+        return len(self.ends) - 2
+
+    def _spaced(self, word: str) -> int:
+        place = self.spaced[word] = self._piece(" " + word) if word.isalpha() else self._unit(" " + word)
         return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (16 bits each), and how many each text has."""
-        if len(self.known) > MOST_KNOWN:
+        if len(self.ends) > MOST_KNOWN:
             self.forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.asarray(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False), dtype=bool)
@@ -79,17 +88,18 @@ class Encoder:
         offsets = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
         codes = np.asarray(coded.indices, dtype=np.int64)
-        spaced = np.array([self._place(" " + w) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        known, new = self.spaced.get, self._spaced
+        spaced = np.array([new(w) if (k := known(w)) is None else k for w in coded.dictionary.to_pylist()], dtype=np.int64)
         places = spaced[codes] if len(codes) else codes
         heads = offsets[:-1]
         words = coded.dictionary
         if len(heads):
             for k, word in zip(heads, words.take(pa.array(codes[heads])).to_pylist()):
-                places[k] = self._place(word)
-        ends = np.array(self.ends, dtype=np.int64)
+                places[k] = self._unit(word)
+        ends, flat = np.array(self.ends, dtype=np.int64), np.array(self.flat, dtype=np.uint16)
         starts, sizes = ends[places], ends[places + 1] - ends[places]
         done = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(starts - done[:-1], sizes) + np.arange(done[-1])]
+        ids = flat[np.repeat(starts - done[:-1], sizes) + np.arange(done[-1])]
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[~odd] = done[offsets[1:]] - done[offsets[:-1]]
         if odd.any():
@@ -105,8 +115,6 @@ class Encoder:
 
 def worker_encoder(path: str) -> Encoder:
     """The worker's encoder, kept between its tasks: only a cache, so a lost worker costs time and nothing else."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
