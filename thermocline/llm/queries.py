@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermocline.llm import mixing, quality, sharding, simhash, token_files
+from thermocline.llm import decontaminate, language, licenses, mixing, pseudonyms, quality, sharding, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,29 @@ def robust_outliers(spark, sf):
 @query("op6_simhash_components")
 def simhash_components(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op9_license_scan")
+def license_scan(spark, sf):
+    return licenses.license_scan(table(spark, sf, "documents"))
+
+
+@query("op1_feistel_pseudonyms")
+def feistel_pseudonyms(spark, sf):
+    """The key is a parameter of the operator; a real one comes from a secret store."""
+    named = pseudonyms.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), key="example key")
+    return named.select("doc_id", "text", "n_replaced")
+
+
+@query("op8_bm25_decontamination")
+def bm25_decontamination(spark, sf):
+    """Documents that hold a test item, with the item and the scores."""
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op4_byte_language_id")
+def byte_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    tagger = language.train_tagger(docs.where(~out))
+    return language.predict_language(docs, tagger).select("doc_id", out.alias("held_out"), "lang_pred", "score")
