@@ -29,7 +29,6 @@ TEMPLATES = {
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee": "isc",
     "This Source Code Form is subject to the terms of the Mozilla Public License": "mpl",
     "Licensed under CC BY-NC 4.0": "cc-by-nc",
-    "Licensed under CC BY-SA 4.0": "cc-by-sa",
     "This is free and unencumbered software released into the public domain": "unlicense",
 }
 CONTAINMENT = 0.8

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermocline.llm import decontaminate, language, licenses, mixing, pseudonyms, quality, sharding, simhash, token_files
+from thermocline.llm import decontaminate, language, licenses, mixing, pseudonyms, quality, sharding, simhash, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,13 @@ def byte_language_id(spark, sf):
     out = language.held_out(F.col("doc_id"), 4, 2)
     tagger = language.train_tagger(docs.where(~out))
     return language.predict_language(docs, tagger).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_gru_toxicity")
+def gru_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    scorer = toxicity.train_scorer(docs.where(~out), table(spark, sf, "labels").where(~out))
+    return toxicity.score_toxicity(docs, scorer).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
