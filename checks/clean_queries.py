@@ -227,7 +227,7 @@ def prepared(spark, sf):
     "k04_prepared_in_reef_areas",
     _PREPARED
     + """ SELECT obs_id, year, mmm_i, bleach_presence, polygon_id FROM prepared
-    JOIN (SELECT obs_id, min(polygon_id) AS polygon_id FROM held GROUP BY obs_id) USING (obs_id)
+    JOIN held USING (obs_id)
     WHERE month BETWEEN mmm_i - 1 AND mmm_i + 3""",
     ["cleaned", "placed", "static_located", "held"],
 )

@@ -22,6 +22,24 @@ def time_slice(spark, sf):
     return rounded(filters.time_slice(v.grid_daily(spark, sf), "1996-03-01", "1997-06-30").select("cell", "time", "sst"))
 
 
+@query(
+    "c07_time_slice_year",
+    "SELECT cell, time FROM grid_daily WHERE time >= DATE '1996-01-01' AND time < DATE '1998-01-01'",
+    ["grid_daily"],
+)
+def time_slice_year(spark, sf):
+    return filters.time_slice(v.grid_daily(spark, sf), "1996", "1997").select("cell", "time")
+
+
+@query(
+    "c07_time_slice_month",
+    "SELECT cell, time FROM grid_daily WHERE time >= DATE '1996-03-01' AND time < DATE '1997-01-01'",
+    ["grid_daily"],
+)
+def time_slice_month(spark, sf):
+    return filters.time_slice(v.grid_daily(spark, sf), "1996-03", "1996-12").select("cell", "time")
+
+
 @query(
     "c08_bbox",
     """SELECT cell, time, round(sst, 6) AS sst FROM grid_daily
@@ -141,17 +159,19 @@ def field_mean(spark, sf):
 
 @query(
     "e09_years_with_enough",
-    """WITH counts AS (SELECT year, count(*) AS n FROM cleaned WHERE mean_percent_bleached >= 90 GROUP BY year),
-    marked AS (SELECT year, min((n >= (SELECT avg(n) * 0.9 FROM counts))::INT) OVER (ORDER BY year DESC) AS ok FROM counts)
-    SELECT obs_id, year FROM cleaned WHERE mean_percent_bleached >= 90 AND year IN (SELECT year FROM marked WHERE ok = 1)""",
+    """WITH moved AS (SELECT obs_id, CASE WHEN year = 1997 AND obs_id % 2 = 0 THEN 1998 ELSE least(year, 2000) END AS year FROM cleaned),
+    counts AS (SELECT year, count(*) AS n FROM moved GROUP BY year),
+    marked AS (SELECT year, min((n >= (SELECT avg(n) * 0.6 FROM counts))::INT) OVER (ORDER BY year DESC) AS ok FROM counts)
+    SELECT obs_id, year FROM moved WHERE year IN (SELECT year FROM marked WHERE ok = 1)""",
     ["cleaned"],
 )
 def years_with_enough(spark, sf):
-    # The threshold follows the data, so that some year fails at every scale.
-    severe = v.cleaned(spark, sf).where(F.col("mean_percent_bleached") >= 90)
-    counts = severe.groupBy("year").agg(F.count("*").alias("n"))
-    threshold = counts.agg(F.avg("n") * 0.9).scalar()
-    return summaries.years_with_enough(severe, threshold).select("obs_id", "year")
+    # The partial last year joins the one before and half of 1997 moves on, so that a year in the middle fails at every scale.
+    year = F.when((F.col("year") == 1997) & (F.col("obs_id") % 2 == 0), 1998).otherwise(F.least("year", F.lit(2000)))
+    moved = v.cleaned(spark, sf).withColumn("year", year)
+    counts = moved.groupBy("year").agg(F.count("*").alias("n"))
+    threshold = counts.agg(F.avg("n") * 0.6).scalar()
+    return summaries.years_with_enough(moved, threshold).select("obs_id", "year")
 
 
 @query(

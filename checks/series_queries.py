@@ -210,7 +210,13 @@ def sample_rows(spark, sf):
     return split.sample_rows(v.cleaned(spark, sf).select("obs_id"), 2000)
 
 
-@query("g03_sample_with_replacement")
+@query(
+    "g03_sample_with_replacement",
+    """WITH r AS (SELECT obs_id, row_number() OVER (ORDER BY md5(concat('42-', obs_id))) AS k, count(*) OVER () AS n FROM cleaned),
+    d AS (SELECT ('0x' || left(md5('42-draw-' || i), 12))::BIGINT AS h FROM range(1000) t(i))
+    SELECT obs_id FROM d JOIN r ON r.k = 1 + d.h % r.n""",
+    ["cleaned"],
+)
 def sample_replace(spark, sf):
     return split.sample_rows(v.cleaned(spark, sf).select("obs_id"), 1000, replace=True)
 

@@ -203,6 +203,36 @@ def join_polygons(spark, sf):
     return polygons.join_polygons(v.points(spark, sf), v.polygon_vertices(spark, sf)).select("obs_id", "polygon_id")
 
 
+# Points that keep only their position occur repeatedly; every repeat is in the result.
+_REPEATED = """WITH twice AS (SELECT longitude, latitude, obs_id FROM points UNION ALL SELECT longitude, latitude, obs_id FROM points)
+    SELECT round(t.longitude, 9) AS longitude, round(t.latitude, 9) AS latitude, {value} FROM twice t {join}"""
+
+
+def _twice(spark, sf):
+    places = v.points(spark, sf).select("longitude", "latitude")
+    return places.union(places)
+
+
+def _at(found, *more):
+    return found.select(F.round("longitude", 9).alias("longitude"), F.round("latitude", 9).alias("latitude"), *more)
+
+
+@query("d08_repeated_points", _REPEATED.format(value="polygon_id", join="JOIN held USING (obs_id)"), ["points", "held"])
+def join_polygons_repeated(spark, sf):
+    return _at(polygons.join_polygons(_twice(spark, sf), v.polygon_vertices(spark, sf)), "polygon_id")
+
+
+@query(
+    "d09_repeated_points",
+    _REPEATED.format(
+        value="polygon_id", join="JOIN (SELECT obs_id, min(polygon_id) AS polygon_id FROM held GROUP BY obs_id) USING (obs_id)"
+    ),
+    ["points", "held"],
+)
+def points_in_polygons_repeated(spark, sf):
+    return _at(polygons.points_in_polygons(_twice(spark, sf), v.polygon_vertices(spark, sf)), "polygon_id")
+
+
 @query("d09_points_in_polygons", "SELECT obs_id, min(polygon_id) AS polygon_id FROM held GROUP BY obs_id", ["held"])
 def points_in_polygons(spark, sf):
     found = polygons.points_in_polygons(v.points(spark, sf), v.polygon_vertices(spark, sf))
@@ -239,11 +269,13 @@ def within_degrees(spark, sf):
 
 @query(
     "c09_exclude_regions",
-    "SELECT region, seq FROM regions WHERE region NOT IN ('enso', 'enso1+2', 'enso3', 'enso4')",
+    """SELECT region, seq FROM (SELECT nullif(region, 'hi') AS region, seq FROM regions)
+    WHERE region IS NULL OR region NOT IN ('enso', 'enso1+2', 'enso3', 'enso4')""",
     ["regions"],
 )
 def exclude_regions(spark, sf):
-    return filters.exclude_regions(v.regions(spark, sf), polygons.EXCLUDED_REGIONS).select("region", "seq")
+    rows = v.regions(spark, sf).withColumn("region", F.nullif("region", F.lit("hi")))
+    return filters.exclude_regions(rows, polygons.EXCLUDED_REGIONS).select("region", "seq")
 
 
 @query(

@@ -9,7 +9,7 @@ from checks.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {
-    "g03_sample_with_replacement", "l09_compare_models", "m01_random_forest", "m02_logistic", "m03_svm",
+    "l09_compare_models", "m01_random_forest", "m02_logistic", "m03_svm",
     "m04_sequence_classifier", "m06_a20_saved_model_predictions",
 }
 SLOW = {"m05_train_models_rows", "a14_feature_store_forced", "a15_series_store", "k04_prepared_in_reef_areas"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -44,14 +45,24 @@ def in_exposure_period(df: DataFrame, before: int = 1, after: int = 3, wrap: boo
     return df.where(F.col("month").between(F.col("mmm_i") - before, F.col("mmm_i") + after))
 
 
+def _period(text: str) -> tuple[str, str | None]:
+    """First instant of a bound and the unit it covers; none for an instant."""
+    for pattern, rest, unit in ((r"\d{4}", "-01-01", "YEAR"), (r"\d{4}-\d{2}", "-01", "MONTH"), (r"\d{4}-\d{2}-\d{2}", "", "DAY")):
+        if re.fullmatch(pattern, text):
+            return text + rest, unit
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?", text):
+        return text, None
+    raise ValueError(f"Not a year, month, day or instant: {text}")
+
+
 def time_slice(df: DataFrame, lo: str, hi: str, column: str = "time") -> DataFrame:
-    """Inclusive slice. A bound given as a day (``YYYY-MM-DD``) covers that whole day."""
-    start = F.to_timestamp_ntz(F.lit(lo))
-    end = F.to_timestamp_ntz(F.lit(hi))
-    kept = df.where(F.col(column) >= start)
-    if len(hi) == 10:
-        return kept.where(F.col(column) < end + F.expr("INTERVAL 1 DAY"))
-    return kept.where(F.col(column) <= end)
+    """Inclusive slice. A bound given as a year, a month or a day covers the whole of it; other bounds are instants."""
+    (start, _), (end, length) = _period(lo), _period(hi)
+    kept = df.where(F.col(column) >= F.to_timestamp_ntz(F.lit(start)))
+    last = F.to_timestamp_ntz(F.lit(end))
+    if length is None:
+        return kept.where(F.col(column) <= last)
+    return kept.where(F.col(column) < last + F.expr(f"INTERVAL 1 {length}"))
 
 
 def bbox(df: DataFrame, lats: Sequence[float], lons: Sequence[float]) -> DataFrame:
@@ -63,7 +74,8 @@ def case_study_area(df: DataFrame) -> DataFrame:
 
 
 def exclude_regions(df: DataFrame, codes: Sequence[str]) -> DataFrame:
-    return df.where(~F.col("region").isin(*codes))
+    """Rows of other regions, and those without one."""
+    return df.where(~F.coalesce(F.col("region").isin(*codes), F.lit(False)))
 
 
 def valid_rows(df: DataFrame) -> DataFrame:

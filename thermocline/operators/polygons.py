@@ -118,10 +118,10 @@ def _within(e: Column, x: Column, y: Column, reach: Column) -> Column:
     return off_x * off_x + off_y * off_y <= reach * reach
 
 
-def _join(points: DataFrame, vertices: DataFrame, distance: float, unit: str) -> DataFrame:
-    """Points with each polygon they are in or near.
+def _held_positions(points: DataFrame, vertices: DataFrame, distance: float, unit: str) -> DataFrame:
+    """Distinct positions of ``points`` with each polygon they are in or near.
 
-    A point meets polygons through the square it lies in, then only those edges that reach its
+    Only coordinates travel: points that repeat a position share one test, and other columns stay behind. A position meets polygons through the square it lies in, then only those edges that reach its
     latitude band, packed in chunks of a fixed number. Crossing counts add up over chunks, so
     polygons of any size are handled without collecting one.
     """
@@ -145,7 +145,7 @@ def _join(points: DataFrame, vertices: DataFrame, distance: float, unit: str) ->
         .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"), F.max("reach").alias("_reach"))
         .drop("ring_id", "_chunk")
     )
-    keyed = points.withColumns(
+    keyed = points.select("longitude", "latitude").distinct().withColumns(
         {"_col": F.floor(F.col("longitude") / SQUARE), "_band": F.floor(F.col("latitude") / SQUARE)}
     )
     x, y = F.col("longitude"), F.col("latitude")
@@ -157,24 +157,29 @@ def _join(points: DataFrame, vertices: DataFrame, distance: float, unit: str) ->
         at_edge = F.exists(F.col("_edges"), lambda e: _touches(e, x, y))
     tested = met.withColumns({"_crossings": crossings, "_at_edge": at_edge})
     return (
-        tested.groupBy(*points.columns, "polygon_id")
+        tested.groupBy("longitude", "latitude", "polygon_id")
         .agg(F.sum("_crossings").alias("_crossings"), F.max("_at_edge").alias("_at_edge"))
         .where((F.col("_crossings") % 2 == 1) | F.col("_at_edge"))
         .drop("_crossings", "_at_edge")
     )
 
 
+def _with_polygons(points: DataFrame, held: DataFrame) -> DataFrame:
+    return points.join(held, ["longitude", "latitude"]).select(*points.columns, "polygon_id")
+
+
 def join_polygons(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """Inner join of points to the polygons that hold them, boundary included; one row per pair.
 
-    Rows of ``points`` must be distinct (they carry an id).
+    Repeated points are kept, each with its pairs; points without a position are in no polygon.
     """
-    return _join(points, vertices, 0.0, "meters")
+    return _with_polygons(points, _held_positions(points, vertices, 0.0, "meters"))
 
 
 def points_in_polygons(points: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Points inside at least one polygon, once each, with the lowest polygon id."""
-    return join_polygons(points, vertices).groupBy(*points.columns).agg(F.min("polygon_id").alias("polygon_id"))
+    """Points inside at least one polygon, once for each row, with the lowest polygon id."""
+    held = _held_positions(points, vertices, 0.0, "meters")
+    return _with_polygons(points, held.groupBy("longitude", "latitude").agg(F.min("polygon_id").alias("polygon_id")))
 
 
 def points_within(points: DataFrame, vertices: DataFrame, distance: float, unit: str = "degrees") -> DataFrame:
@@ -185,4 +190,4 @@ def points_within(points: DataFrame, vertices: DataFrame, distance: float, unit:
     """
     if distance < 0:
         raise ValueError("distance must not be negative")
-    return _join(points, vertices, distance, unit)
+    return _with_polygons(points, _held_positions(points, vertices, distance, unit))

@@ -105,9 +105,14 @@ def sample_grid(
         placed = at_each_step(nearest_cells(points, grid))
         sampled = placed.join(field, on, "left").drop("_lat", "_lon").withColumnRenamed("_value", into)
     else:
-        placed = at_each_step(corner_cells(points, grid))
-        sampled = placed.join(field, on, "left")
-        sampled = sampled.groupBy(*points.columns, *(["time"] if timed else [])).agg(weighted("_value").alias(into))
+        # Weights depend on the position alone, so repeated points share one and every row gets its value.
+        spots = points.select(F.col("latitude"), F.col("longitude")).distinct()
+        placed = at_each_step(corner_cells(spots, grid))
+        steps_of = ["time"] if timed else []
+        values = placed.join(field, on, "left").groupBy("latitude", "longitude", *steps_of).agg(weighted("_value").alias(into))
+        values = values.withColumnsRenamed({"latitude": "_at_lat", "longitude": "_at_lon"})
+        same = F.col("latitude").eqNullSafe(F.col("_at_lat")) & F.col("longitude").eqNullSafe(F.col("_at_lon"))
+        sampled = points.join(values, same).select(*points.columns, *steps_of, into)
     return fill_samples(sampled, fill, grid, value, into)
 
 

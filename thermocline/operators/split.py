@@ -20,12 +20,19 @@ def sample_rows(
 ) -> DataFrame:
     """At most ``n`` rows: the ones with the smallest hashes, so repeatable; all rows without ``n``.
 
-    ``replace`` draws about ``n`` rows with replacement instead.
+    ``replace`` makes ``n`` repeatable draws with replacement instead: each draw's hash names the position of a row in
+    the order of the rows' hashes.
     """
     if n is None:
         return df
     if replace:
-        return df.sample(withReplacement=True, fraction=n / max(df.count(), 1), seed=seed)
+        slab = F.conv(F.substring("_hash", 1, SLAB_DIGITS), 16, 10).cast("int")
+        hashed = df.withColumns({"_hash": shuffle_hash(key, seed), "_all": F.lit(0)})
+        ranked = position_in_slabs(hashed, ["_all"], slab, [F.col("_hash")], "_rank")
+        drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-draw-"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long")
+        total = F.nullif(df.agg(F.count("*")).scalar(), F.lit(0))
+        draws = df.sparkSession.range(n).select((1 + F.pmod(drawn, total)).alias("_drawn"))
+        return draws.join(ranked, F.col("_drawn") == F.col("_rank")).select(*df.columns)
     return df.withColumn("_hash", shuffle_hash(key, seed)).orderBy("_hash").limit(n).drop("_hash")
 
 

@@ -65,8 +65,16 @@ def manifest(tiles: DataFrame, var: str, start: str, end: str) -> DataFrame:
 
 
 def pending(work: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Manifest entries without a non-empty file."""
-    return work.join(catalogue.where(F.col("bytes") > 0).select("path"), "path", "left_anti")
+    """Manifest entries without a non-empty file.
+
+    Files are matched by tile and name, since a scanned catalogue has full addresses and a manifest relative paths.
+    """
+
+    def place(path: str) -> Column:
+        return F.concat_ws("/", F.regexp_extract(path, r"(patch_[^/]*)", 1), F.regexp_extract(path, r"([^/]*)$", 1))
+
+    there = catalogue.where(F.col("bytes") > 0).select(place("path").alias("_place"))
+    return work.withColumn("_place", place("path")).join(there, "_place", "left_anti").drop("_place")
 
 
 def assign_tile(

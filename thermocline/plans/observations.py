@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from thermocline.operators import filters
-from thermocline.operators.polygons import points_in_polygons
+from thermocline.operators.polygons import join_polygons
 from thermocline.operators.sampling import sample_grid
 from thermocline.operators.summaries import years_with_enough
 
@@ -41,10 +41,11 @@ def available_steps(
     def reef_areas(df: DataFrame) -> DataFrame:
         if polygons is None:
             raise ValueError("This step needs reef polygons")
-        return points_in_polygons(df, polygons)
+        return join_polygons(df, polygons)
 
     def exposure(df: DataFrame) -> DataFrame:
-        return filters.in_exposure_period(filters.drop_missing_mmm(with_mmm(df)))
+        placed = df if "mmm_i" in df.columns else with_mmm(df)
+        return filters.in_exposure_period(filters.drop_missing_mmm(placed))
 
     return {
         "essential_nans": filters.drop_missing_keys,
