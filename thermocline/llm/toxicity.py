@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from thermocline.llm.gru import Adam, Direction
 
 HIDDEN = 8
-WINDOW, STRIDE = 32, 16  # words; every window of a text is scored
+WINDOW, STRIDE = 64, 32  # words; every window of a text is scored
 VOCABULARY = 6000  # most words with an input row of their own
 GRAMS = 4096  # input rows of hashed character trigrams
 LEAST_SEEN = 5  # training documents that hold a word of the vocabulary
 SAMPLE = 2000  # most training documents of each label
 SAMPLE_CHARS = 20_000  # longest training text
 ROUNDS, STEPS, BATCH, RATE = 6, 60, 256, 0.01
-DECAY = 0.002  # of the input rows in each step
-TRIMMED = 0.1  # share of toxic training documents set aside, those that look cleanest: labels may be wrong
+DECAY = 0.004  # of the input rows in each step
+DROPPED = 0.3  # share of words left out of training windows, so that rare words are not learned by heart
+TRIMMED = 0.05  # share of toxic training documents set aside, those that look cleanest: labels may be wrong
 TOGETHER = 4096
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
@@ -166,7 +167,8 @@ def fit(texts: list[str], target: np.ndarray, seed: int = 1) -> WindowScorer:
             other = rng.choice(negative, BATCH - len(mine) - (0 if scores is None else BATCH // 3))
             parts = [mine, other] if scores is None else [mine, other, rng.choice(hard, BATCH // 3)]
             batch = np.concatenate(parts)
-            used, local = np.unique(windows[batch], return_inverse=True)
+            shown = np.where(rng.random((len(batch), WINDOW)) < DROPPED, len(words), windows[batch])
+            used, local = np.unique(shown, return_inverse=True)
             real = used[used < len(words)]
             ids = local.reshape(len(batch), WINDOW)  # padding, if any, is the largest number
             sizes = ends[real + 1] - ends[real]
