@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import connect, differences
+from checks.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {
@@ -17,11 +18,11 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
 def test_rows_only_queries_are_the_known_ones():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
 def test_query_equals_sql(spark, name):
     mine = entry.queries()[name](spark, SF).toPandas()
     assert differences(mine, connect(SF).execute(entry.oracle_sql()[name]).df()) is None
