@@ -154,6 +154,17 @@ def pending(spark, sf):
     return tiles.pending(_manifest(spark, sf), v.catalogue(spark, sf)).select("patch", "slice_start", "slice_end", "path")
 
 
+@query(
+    "a09_pending_scanned",
+    _MANIFEST + " SELECT * FROM manifest WHERE path NOT IN (SELECT path FROM catalogue WHERE bytes > 0)",
+    ["tiles", "grid_daily", "catalogue"],
+)
+def pending_scanned(spark, sf):
+    """A scanned catalogue has full addresses, the manifest relative paths."""
+    scanned = v.catalogue(spark, sf).withColumn("path", F.concat(F.lit("s3a://store/grid/"), "path"))
+    return tiles.pending(_manifest(spark, sf), scanned).select("patch", "slice_start", "slice_end", "path")
+
+
 _ASSIGNED = """SELECT obs_id, arg_min(patch, lat0 * 1000 + lon0) AS patch FROM points p JOIN tiles t
     ON p.latitude BETWEEN lat0 AND lat1 AND p.longitude BETWEEN lon0 AND lon1 GROUP BY obs_id"""
 
