@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MOST_REPEATED = 50
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 STATISTICS = ("_x1", "_x2", "_x3", "_x4")
 KEPT_SHARE = 0.75  # of a group's rows: the subset whose covariance determinant is made small
 STEPS = 6  # concentration steps
@@ -67,10 +70,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     to lambda variables, since Spark would otherwise compute them anew for each element.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, BLANK, "")) > 0)
     return (
-        docs.drop(*names)
+        docs.drop(*ADDED)
         .withColumns(
             {
                 "_counts": let(words(F.col("text")), _word_statistics),
@@ -155,7 +157,7 @@ def group_shapes(rows: DataFrame, label: str = "mcd") -> DataFrame:
     return shapes
 
 
-def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
+def quality_rules(docs: DataFrame, cut: float = CUT, carry: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with its statistics, ``distance`` (squared, null where the base rule fails) and ``kept``.
 
     A document is kept if it passes the base rule and its transformed statistics lie within ``cut`` of the robust shape of its
@@ -163,12 +165,17 @@ def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
     rows. Null languages and sources are groups of their own. Rows do not affect each other otherwise, so repeated rows get
     equal verdicts; an empty table gives no rows. Columns of ``docs`` named like the added ones are replaced.
 
-    Texts are read twice and never shuffled: once for the small table of statistics on which shapes are estimated, and
-    once for the verdicts. Shapes and cuts have a row per group; Spark broadcasts them by their measured size.
+    Texts are read once and never shuffled: the rows are written with their statistics, and everything after that reads the
+    written table. Otherwise a filter on the verdict would be pushed below the statistics and compute them again. ``carry``
+    names the columns of ``docs`` to return beside the added ones; without it all are written, texts included. Shapes and cuts have a row per
+    group; Spark broadcasts them by their measured size.
     """
-    measured = text_statistics(docs)
+    found = text_statistics(docs).withColumns({"_lang": F.col("lang"), "_source": F.col("source")}).drop("distance", "kept")
+    if carry is not None:
+        found = found.select(*[c for c in carry if c in found.columns and c not in ADDED], *ADDED, "_lang", "_source")
+    measured = stored(found, "quality-statistics")
     vectors = stored(
-        measured.where(~F.col("base_failed")).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[v.alias(k) for k, v in _vector().items()]),
+        measured.where(~F.col("base_failed")).select("_lang", "_source", *[v.alias(k) for k, v in _vector().items()]),
         "quality-vectors",
     )
     counts = vectors.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
@@ -194,10 +201,10 @@ def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
         "_group", F.explode(F.array(F.concat(F.lit("pair "), pair), F.concat(F.lit("lang "), F.to_json(F.struct("_lang"))), F.lit("all")))
     ).join(wanted, F.col("_group") == F.col("_wanted"), "left_semi").drop("_lang", "_source")
     shapes = group_shapes(stored(every, "quality-members"))
-    judged = _distance(named(measured.drop("distance", "kept").withColumns(_vector()), "lang", "source"), shapes)
+    judged = _distance(named(measured.withColumns(_vector()), "_lang", "_source"), shapes)
     return judged.withColumns(
         {
             "distance": F.when(~F.col("base_failed"), F.col("_d")),
             "kept": ~F.col("base_failed") & F.coalesce(F.col("_d") <= cut, F.lit(True)),
         }
-    ).drop("_group", "_d", *STATISTICS)
+    ).drop("_group", "_d", "_lang", "_source", *STATISTICS)

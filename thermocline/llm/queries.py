@@ -77,7 +77,7 @@ def token_id_files(spark, sf):
 
 @query("op2_robust_outliers")
 def robust_outliers(spark, sf):
-    judged = quality.quality_rules(table(spark, sf, "documents"))
+    judged = quality.quality_rules(table(spark, sf, "documents"), carry=["doc_id"])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
