@@ -9,7 +9,10 @@ from checks.clean_queries import _arc
 from checks.registry import query, rounded
 from thermocline.functions.geometry import BOUNDS
 from thermocline.operators import filters, polygons, sampling, series, tiles
+from thermocline.plans.comparison import stored_features, window_key
+from thermocline.session import shared_folder
 from thermocline.sources import catalogue as cat
+from thermocline.sources.store import FeatureStore
 
 
 @query(
@@ -191,24 +194,71 @@ def assign_tile_null(spark, sf):
     return tiles.assign_tile(v.points(spark, sf), known, "null", 1.0).select("obs_id", "patch")
 
 
-@query(
-    "d07_window_availability",
-    f"""WITH assigned AS ({_ASSIGNED}),
-    have AS (SELECT patch, list(DISTINCT year) AS years FROM catalogue WHERE bytes > 0 AND start < (SELECT max("end") FROM catalogue) GROUP BY patch),
+# Tiles are taken to lack one year in the middle, so that some windows are not all there.
+LOST_YEAR = 1997
+_NEEDED = f"""assigned AS ({_ASSIGNED}),
+    have AS (SELECT patch, list(DISTINCT year) FILTER (year <> {LOST_YEAR}) AS years FROM catalogue WHERE bytes > 0 GROUP BY patch),
     needed AS (SELECT obs_id, list_sort(list_filter(generate_series(year(date - INTERVAL 31 DAY), year(date)),
         lambda y: NOT list_contains(coalesce(years, []), y))) AS missing
-      FROM dated JOIN assigned USING (obs_id) LEFT JOIN have USING (patch))
+      FROM dated JOIN assigned USING (obs_id) LEFT JOIN have USING (patch))"""
+
+
+def _tile_years(spark, sf):
+    years = cat.availability(v.catalogue(spark, sf).where("bytes > 0"), v.VAR)
+    return years.withColumn("available_years", F.filter("available_years", lambda y: y != LOST_YEAR))
+
+
+def _tiled(spark, sf):
+    return tiles.assign_tile(v.dated(spark, sf), _tiles(spark, sf), "error", 1.0)
+
+
+@query(
+    "d07_window_availability",
+    f"""WITH {_NEEDED}
     SELECT obs_id, array_to_string(missing, ',') AS missing_years, len(missing) = 0 AS is_available FROM needed""",
     ["points", "tiles", "catalogue", "dated"],
 )
 def window_availability(spark, sf):
-    files = v.catalogue(spark, sf)
-    years = cat.availability(files.where("bytes > 0").where(F.col("start") < files.agg(F.max("end")).scalar()), v.VAR)
-    obs = tiles.assign_tile(v.dated(spark, sf), _tiles(spark, sf), "error", 1.0)
-    found = series.window_availability(obs, years)
+    found = series.window_availability(_tiled(spark, sf), _tile_years(spark, sf))
     return found.select("obs_id", F.array_join("missing_years", ",").alias("missing_years"), "is_available")
 
 
+_GRID = ("time", "latitude", "longitude", "year", "sst")
+
+
+@query(
+    "d06_series_gated",
+    f"""WITH {_NEEDED}
+    SELECT n.obs_id, count(s.time) AS n, round(coalesce(sum(s.sst), 0), 6) AS total
+    FROM needed n LEFT JOIN series s ON s.obs_id = n.obs_id AND len(missing) = 0 GROUP BY n.obs_id""",
+    ["points", "tiles", "catalogue", "dated", "series"],
+)
+def series_gated(spark, sf):
+    found = series.series_for(
+        _tiled(spark, sf), v.grid_daily(spark, sf).select(*_GRID),
+        axes=v.static_located(spark, sf), years_of_tile=_tile_years(spark, sf),
+    )
+    total = F.aggregate("series", F.lit(0.0), lambda t, step: t + step["sst"])
+    return rounded(found.select("obs_id", F.coalesce(F.size("series"), F.lit(0)).cast("bigint").alias("n"), F.coalesce(total, F.lit(0.0)).alias("total")))
+
+
+@query(
+    "l09_gated_training_rows",
+    f"""WITH {_NEEDED}
+    SELECT obs_id, CASE WHEN min_percent_bleached >= 20 THEN 1 ELSE 0 END AS bleach_presence
+    FROM dated JOIN needed USING (obs_id) WHERE len(missing) = 0 AND obs_id IN (SELECT obs_id FROM series)""",
+    ["points", "tiles", "catalogue", "dated", "series"],
+)
+def gated_training_rows(spark, sf):
+    obs = filters.with_presence(_tiled(spark, sf))
+    kept = FeatureStore(spark, shared_folder(spark, "features"), window_key(obs, window_days=31, gated=True))
+    found = stored_features(
+        obs, v.grid_daily(spark, sf).select(*_GRID), kept, 31,
+        axes=v.static_located(spark, sf), years_of_tile=_tile_years(spark, sf),
+    )
+    return found.select("obs_id", "bleach_presence")
+
+
 @query("d08_join_polygons", "SELECT obs_id, polygon_id FROM held", ["held"])
 def join_polygons(spark, sf):
     return polygons.join_polygons(v.points(spark, sf), v.polygon_vertices(spark, sf)).select("obs_id", "polygon_id")

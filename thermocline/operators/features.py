@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermocline.operators.series import _checked, distinct_windows
+from thermocline.operators.series import _checked, distinct_windows, with_gate
 
 FEATURES = ("mean", "std", "min", "max", "median", "p90", "p95", "p99")
 EXTENDED = ("trend", "heat_proxy", "longest_run", "recent_change")
@@ -88,10 +88,15 @@ def extract_features(rows: DataFrame, keys: Sequence[str] = ("obs_id",), extende
 def observation_features(
     obs: DataFrame, grid: DataFrame, days_before: int = 31, method: str = "nearest",
     key: str = "obs_id", extended: bool = False, truncate_time: bool = False,
+    axes: DataFrame | None = None, years_of_tile: DataFrame | None = None,
 ) -> DataFrame:
-    """Features of each observation's window, computed once per distinct place and date."""
+    """Features of each observation's window, computed once per distinct place and date.
+
+    ``axes`` and ``years_of_tile`` as in ``series_for``: an observation whose window lacks a year has no row.
+    """
     obs = _checked(obs, key)
-    placed, rows, keys = distinct_windows(obs, grid, days_before, method, truncate_time)
+    open_obs = obs if years_of_tile is None else with_gate(obs, years_of_tile, days_before).where("_open").drop("_open")
+    placed, rows, keys = distinct_windows(open_obs, grid, days_before, method, truncate_time, axes)
     features = extract_features(rows, keys, extended)
     names = [*FEATURES, *(EXTENDED if extended else ())]
     return placed.join(features, keys).select(*obs.columns, *names)

@@ -44,21 +44,29 @@ def _window_rows(
 
 
 def distinct_windows(
-    obs: DataFrame, grid: DataFrame, days_before: int = 31, method: str = "nearest", truncate_time: bool = False
+    obs: DataFrame, grid: DataFrame, days_before: int = 31, method: str = "nearest", truncate_time: bool = False,
+    axes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Observations with a place, the series rows of each distinct place and date, and their shared keys.
 
-    Many observations share a cell and a date; their series is built once.
+    Many observations share a cell and a date; their series is built once. ``axes`` is any table with the grid's
+    coordinates, such as a static field: without it the coordinates are read from all of the grid. Rows whose ``_open`` is
+    false get no series.
     """
     check_method(method)
+    lattice = grid if axes is None else axes
+
+    def asked(placed: DataFrame, keys: list[str]) -> DataFrame:
+        return (placed.where("_open") if "_open" in placed.columns else placed).select(*keys).distinct()
+
     if method == "nearest":
-        placed = nearest_cells(obs, grid)
+        placed = nearest_cells(obs, lattice)
         keys = list(_PLACE)
-        return placed, _window_rows(placed.select(*keys).distinct(), grid, days_before, truncate_time), keys
+        return placed, _window_rows(asked(placed, keys), grid, days_before, truncate_time), keys
     placed = obs.withColumns({"_at_lat": F.col("latitude"), "_at_lon": F.col("longitude")})
     keys = ["_at_lat", "_at_lon", "date"]
-    points = placed.select(*keys).distinct().withColumns({"latitude": F.col("_at_lat"), "longitude": F.col("_at_lon")})
-    corners = corner_cells(points, grid).drop("latitude", "longitude")
+    points = asked(placed, keys).withColumns({"latitude": F.col("_at_lat"), "longitude": F.col("_at_lon")})
+    corners = corner_cells(points, lattice).drop("latitude", "longitude")
     rows = _window_rows(corners, grid, days_before, truncate_time)
     rows = rows.groupBy(*keys, "time").agg(weighted("sst").alias("sst"))
     return placed, rows, keys
@@ -66,28 +74,34 @@ def distinct_windows(
 
 def series_rows(
     obs: DataFrame, grid: DataFrame, days_before: int = 31, method: str = "nearest",
-    key: str = "obs_id", truncate_time: bool = False,
+    key: str = "obs_id", truncate_time: bool = False, axes: DataFrame | None = None,
 ) -> DataFrame:
     """Exploded series (key, time, sst): days from midnight(date) - N to midnight(date), inclusive."""
-    placed, rows, keys = distinct_windows(_checked(obs, key), grid, days_before, method, truncate_time)
+    placed, rows, keys = distinct_windows(_checked(obs, key), grid, days_before, method, truncate_time, axes)
     return placed.select(key, *keys).join(rows, keys).select(key, "time", "sst")
 
 
 def series_for(
     obs: DataFrame, grid: DataFrame, days_before: int = 31, method: str = "nearest",
     key: str = "obs_id", truncate_time: bool = False, value_transform: Callable[[Column], Column] | None = None,
+    axes: DataFrame | None = None, years_of_tile: DataFrame | None = None,
 ) -> DataFrame:
     """Observations with ``series``, an array of (time, sst) in time order; NULL where the grid has none.
 
     A series has at most one entry per day of its window, so the array is bounded by ``days_before``.
-    ``value_transform`` maps the array column to another.
+    ``value_transform`` maps the array column to another. With ``years_of_tile`` (see ``window_availability``), a window
+    that touches a year its tile lacks has a NULL series instead of a partial one.
     """
     obs = _checked(obs, key)
-    placed, rows, keys = distinct_windows(obs, grid, days_before, method, truncate_time)
+    gated = obs if years_of_tile is None else with_gate(obs, years_of_tile, days_before)
+    placed, rows, keys = distinct_windows(gated, grid, days_before, method, truncate_time, axes)
     arrays = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("time", "sst"))).alias("series"))
     if value_transform is not None:
         arrays = arrays.withColumn("series", value_transform(F.col("series")))
-    return placed.join(arrays, keys, "left").select(*obs.columns, "series")
+    joined = placed.join(arrays, keys, "left")
+    if years_of_tile is not None:
+        joined = joined.withColumn("series", F.when(F.col("_open"), F.col("series")))
+    return joined.select(*obs.columns, "series")
 
 
 def window_availability(
@@ -104,6 +118,12 @@ def window_availability(
     )
 
 
+def with_gate(obs: DataFrame, years_of_tile: DataFrame, days_before: int = 31) -> DataFrame:
+    """Adds ``_open``: all years of the window are there."""
+    found = window_availability(obs, years_of_tile, days_before)
+    return found.withColumnRenamed("is_available", "_open").drop("missing_years")
+
+
 def with_days_before(rows: DataFrame, keys: Sequence[str] = ("obs_id",)) -> DataFrame:
     """Steps back from the newest: T-1 for the first row of a series, 0 for the last.
 

@@ -17,32 +17,49 @@ from thermocline.operators.models import (
     sequence_classifier,
     train_models,
     with_vector,
+    written,
 )
 from thermocline.operators.series import series_for, to_sequence
 from thermocline.operators.split import sample_rows, stratified_split
 from thermocline.sources.results import save_results
-from thermocline.sources.store import FeatureStore, SeriesStore
+from thermocline.sources.store import FeatureStore, SeriesStore, store_key
 
 
 def stored_features(
-    obs: DataFrame, grid: DataFrame, store: FeatureStore, days_before: int = 365, force: bool = False
+    obs: DataFrame, grid: DataFrame, store: FeatureStore, days_before: int = 365, force: bool = False,
+    axes: DataFrame | None = None, years_of_tile: DataFrame | None = None,
 ) -> DataFrame:
-    """Features of valid observations through the store: only new ones are computed."""
-    return store.compute(valid_rows(obs), lambda new: observation_features(new, grid, days_before), force)
+    """Features of valid observations through the store: only new ones are computed.
+
+    ``axes`` and ``years_of_tile`` as in ``series_for``. Ids without a row are tried again on the next call.
+    """
+    return store.compute(
+        valid_rows(obs),
+        lambda new: observation_features(new, grid, days_before, axes=axes, years_of_tile=years_of_tile), force,
+    )
+
+
+def window_key(obs: DataFrame, label: str = "bleach_presence", **config) -> str:
+    """Store key of the configuration and of the observations' place, date and label."""
+    return store_key({"label": label, **config}, obs.withColumn("bleach_presence", F.col(label))).first()[0]
 
 
 def train_sequence_model(
     obs: DataFrame, grid: DataFrame, store: SeriesStore, days_before: int = 31, test: float = 0.2,
     val: float = 0.2, seed: int = 42, label: str = "bleach_presence",
+    axes: DataFrame | None = None, years_of_tile: DataFrame | None = None,
 ):
     """Network on fixed-length series. Returns the model, scored test rows, and loss and accuracy on
     the validation and test splits."""
     series = store.compute(
-        valid_rows(obs), lambda new: drop_empty_series(series_for(new, grid, days_before).dropna(subset=["series"]))
+        valid_rows(obs),
+        lambda new: drop_empty_series(
+            series_for(new, grid, days_before, axes=axes, years_of_tile=years_of_tile).dropna(subset=["series"])
+        ),
     )
     length = days_before + 1
     rows = with_vector(to_sequence(series, length)).withColumn("label", F.col(label).cast("double"))
-    parts = stratified_split(rows, label, test, val, seed)
+    parts = written(stratified_split(rows, label, test, val, seed), "split")
     model = sequence_classifier(length).fit(parts.where(F.col("split") == "train").select("features", "label"))
     judged = predict(model, parts.where(F.col("split") != "train")).withColumn("label", F.col(label).cast("int"))
     return model, judged.where(F.col("split") == "test"), log_loss(judged, ["split"])
@@ -51,17 +68,27 @@ def train_sequence_model(
 def compare_models(
     obs: DataFrame, grid: DataFrame, folder: str, types: Sequence[str] = MODEL_TYPES, days_before: int = 365,
     max_rows: int | None = None, test: float = 0.2, seed: int = 42, with_network: bool = True,
-    label: str = "bleach_presence",
+    label: str = "bleach_presence", grid_name: str = "grid", axes: DataFrame | None = None,
+    years_of_tile: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Train and score every model on one split, write results under ``folder`` and return them."""
+    """Train and score every model on one split, write results under ``folder`` and return them.
+
+    Stored features are kept by grid name, window, method, gate, label and observations, so a change in any of them
+    computes anew. ``grid_name`` tells grids (their address and variable) apart. ``axes`` and ``years_of_tile`` as in ``series_for``.
+    """
     spark = obs.sparkSession
     chosen = sample_rows(valid_rows(obs), max_rows, seed)
-    store = FeatureStore(spark, f"{folder}/features", f"window-{days_before}")
-    features = stored_features(chosen, grid, store, days_before)
+    key = window_key(
+        chosen, label, grid=grid_name, window_days=days_before, method="nearest", gated=years_of_tile is not None
+    )
+    store = FeatureStore(spark, f"{folder}/features", key)
+    features = stored_features(chosen, grid, store, days_before, axes=axes, years_of_tile=years_of_tile)
     _, scored = train_models(features, types, label, test, seed)
     if with_network:
-        series_store = SeriesStore(spark, f"{folder}/series", f"window-{days_before}")
-        _, judged, _ = train_sequence_model(chosen, grid, series_store, days_before, test, seed=seed, label=label)
+        series_store = SeriesStore(spark, f"{folder}/series", key)
+        _, judged, _ = train_sequence_model(
+            chosen, grid, series_store, days_before, test, seed=seed, label=label, axes=axes, years_of_tile=years_of_tile
+        )
         network = judged.withColumn("model", F.lit("network")).select(*scored.columns)
         scored = scored.unionByName(network)
     # Scores feed several tables: write them once and read them back.
