@@ -1,0 +1,173 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filter join whose pairs are verified on the texts."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from thermocline.llm.common import BLANK, stored
+from thermocline.llm.components import components
+
+SHINGLE = 5  # words
+SIMILARITY = 0.8
+SEED = 42
+BUCKETS = 1 << 18  # of the tally that orders shingles
+TOGETHER = 256  # texts in a step of task code
+
+
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and 64-bit hash of each distinct shingle, ordered by both.
+
+    A-Z is lower-cased and words end at ASCII white space. Fewer than ``width`` words are one shingle, as is a null or wordless text.
+    """
+    import xxhash
+
+    # Trimmed first: Arrow's lower-casing of a slice reads from the wrong offset.
+    trimmed = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), f"^{BLANK}|{BLANK}$", "")
+    split = pc.split_pattern_regex(pc.ascii_lower(trimmed), BLANK)
+    offsets, coded = np.asarray(split.offsets), split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), dtype=np.uint64, count=len(distinct))
+    word = hashes[np.asarray(coded.indices, dtype=np.int64)]
+    sizes = np.diff(offsets)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    left = offsets[1:][text] - np.arange(len(word))
+    total = np.ones(len(word), dtype=np.uint64)
+    for k in range(width):
+        after = np.append(word[k:], np.zeros(min(k, len(word)), dtype=np.uint64))
+        total = np.where(left > k, total * np.uint64(0x9E3779B97F4A7C15) + after, total)
+    total ^= total >> np.uint64(33)
+    total *= np.uint64(0xFF51AFD7ED558CCD)
+    total ^= total >> np.uint64(33)
+    starts = (left >= width) | (left == sizes[text])
+    text, total = text[starts], total[starts]
+    order = np.lexsort((total, text))
+    text, total = text[order], total[order]
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (total[1:] != total[:-1])
+    return text[new], total[new]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, TOGETHER):
+            yield whole.slice(at, TOGETHER)
+
+
+def _tallied(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in _slices(batches):
+            _, shingles = shingle_sets(batch.column("text"), width)
+            counts += np.bincount((shingles % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+    return run
+
+
+def _levels(texts: DataFrame, width: int) -> np.ndarray:
+    """Half octaves of the number of texts per bucket of shingles; ``BUCKETS`` rows reach the driver, however large the table."""
+    counted = texts.select("text").mapInArrow(_tallied(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.zeros(BUCKETS, dtype=np.uint8)
+    levels[np.asarray(counted["bucket"])] = 2 * np.log2(1.0 + np.asarray(counted["n"]))
+    return levels
+
+
+def _prefixes(width: int, similarity: float, levels: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            text, shingles = shingle_sets(batch.column("text"), width)
+            order = np.lexsort((shingles, levels[(shingles % np.uint64(BUCKETS)).astype(np.int64)], text))
+            sizes = np.bincount(text, minlength=batch.num_rows)
+            at = np.arange(len(text)) - (np.cumsum(sizes) - sizes)[text]
+            short = at < (sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1)[text]
+            node = np.asarray(batch.column("node"))[text[short]]
+            columns = [node, sizes[text[short]], at[short], shingles[order][short].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "size", "at", "shingle"])
+
+    return run
+
+
+def _verified(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            (ta, sa), (tb, sb) = (shingle_sets(batch.column(c), width) for c in ("text_a", "text_b"))
+            text, shingles = np.concatenate([ta, tb]), np.concatenate([sa, sb])
+            order = np.lexsort((shingles, text))
+            text, shingles = text[order], shingles[order]
+            same = (text[1:] == text[:-1]) & (shingles[1:] == shingles[:-1])
+            shared = np.bincount(text[1:][same], minlength=batch.num_rows)
+            every = np.bincount(text, minlength=batch.num_rows) - shared
+            near = pa.array(shared >= similarity * every - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(near)
+
+    return run
+
+
+def _near(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose texts are similar; only texts in a pair are shuffled."""
+    named = stored(pairs.distinct(), "jaccard-pairs")
+    wanted = named.select(F.col("a").alias("node")).union(named.select(F.col("b").alias("node"))).distinct()
+    held = stored(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-texts")
+    both = (
+        named.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    )
+    return stored(both.mapInArrow(_verified(width, similarity), "a long, b long"), "jaccard-links")
+
+
+def text_node() -> Column:
+    """Equal texts are one node, named by a 64-bit hash."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def node_roots(read: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``node`` and ``root`` of the texts that are linked to another one; ``read`` has ``node`` and ``text``.
+
+    The similarity is that of the sets of ``width``-word shingles, and no pair is lost: shingles have one order (rare buckets first), and
+    two similar texts of n and m shingles share one among their first n - ceil(s n) + 1 and m - ceil(s m) + 1. First all texts of a
+    posting are compared with its least one. After that only postings that still join different components are paired, with length and
+    position filters, so a large group is never paired with itself.
+    """
+    postings = read.mapInArrow(_prefixes(width, similarity, _levels(read, width)), "node long, size long, at long, shingle long")
+    posted = postings.groupBy("shingle", "node").agg(F.first("size").alias("size"), F.first("at").alias("at"))
+    first = posted.groupBy("shingle").agg(F.min("node").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1).select("shingle", "least")
+    posted = stored(stored(posted, "jaccard-prefixes").join(stored(first, "jaccard-least"), "shingle"), "jaccard-postings")
+    links = _near(posted.where(F.col("node") > F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")), read, width, similarity)
+    roots = stored(components(links, "jaccard-stars"), "jaccard-roots")
+
+    rooted = stored(posted.drop("least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-rooted")
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high")).select("shingle")
+    open_ = stored(rooted.join(mixed, "shingle", "left_semi"), "jaccard-open")
+    a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "at", "root")]) for x in "ab")
+    least = F.ceil(similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    pairs = (
+        a.join(b, "shingle")
+        .where((F.col("root_a") != F.col("root_b")) & (F.col("node_a") > F.col("node_b")))
+        .where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
+        .where(F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least)
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    )
+    links = links.union(_near(pairs, read, width, similarity))
+    return stored(components(links, "jaccard-links"), "jaccard-roots")
+
+
+def with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``component_id``, the smallest ``doc_id`` of the component of their ``node``; null ids count as larger than all others."""
+    named = stored(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "jaccard-named")
+    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").drop("root")
+
+
+def similar_components(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id`` and ``component_id``, the smallest ``doc_id`` reachable over pairs of texts with at least that Jaccard similarity.
+
+    Null ids are kept; repeated rows give repeated rows; an empty table gives none. Only ``doc_id`` and ``text`` are read.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node().alias("node"), "text")
+    return with_component(rows.select("doc_id", "node"), node_roots(rows.select("node", "text"), width, similarity))

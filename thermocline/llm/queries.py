@@ -85,7 +85,7 @@ def robust_outliers(spark, sf):
 
 @query("op6_simhash_components")
 def simhash_components(spark, sf):
-    return simhash.near_duplicates(table(spark, sf, "documents"))
+    return simhash.near_duplicates(table(spark, sf, "documents"), similarity=None)
 
 
 @query("op9_license_scan")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermocline.llm import jaccard
 from thermocline.llm.common import stored
 from thermocline.llm.components import components
 
@@ -100,13 +101,20 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(through).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest ``doc_id`` reachable over links.
+def near_duplicates(docs: DataFrame, width: int = jaccard.SHINGLE, similarity: float | None = jaccard.SIMILARITY) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits, of 3-word shingles) and ``component_id``, the smallest ``doc_id`` reachable over links.
 
-    Fingerprints link at two or fewer differing bits. Copies meet in one grouping with partial aggregation and are never
+    Texts link at a Jaccard similarity of ``similarity`` or more of their ``width``-word shingles; fingerprints cannot tell that, since
+    such texts often differ in three to eleven bits. With ``similarity=None``, the contract of op6, fingerprints link instead, at two or
+    fewer differing bits. Copies meet in one grouping with partial aggregation and are never
     paired. Null ids are kept and count as larger than all others; repeated rows give repeated rows; an empty table gives none.
     Only ``doc_id`` and ``text`` are read.
     """
+    if similarity is not None:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), jaccard.text_node().alias("node"), "text")
+        printed = rows.mapInArrow(_fingerprints, "doc_id long, node long, fp long")
+        named = jaccard.with_component(printed, jaccard.node_roots(rows.select("node", "text"), width, similarity))
+        return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     found = stored(fingerprints(docs), "simhash")
     classes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = stored(components(links(classes.select("fp")), "simhash-links"), "simhash-roots")
