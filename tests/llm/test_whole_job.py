@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from thermocline.llm import jaccard, simhash
+from thermocline.llm import jaccard, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -52,3 +52,11 @@ def test_pipeline_drops_leaks_without_an_id(spark, tmp_path):
     docs = frame(spark, [(None, other[0] + " " + item), (5, other[1] + " " + item), (None, other[2]), (7, other[3]), (None, None)])
     left = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
     assert sorted(r["text"] or "" for r in left.collect()) == sorted(["", other[2], other[3]])
+
+
+def test_junk_of_two_fifths_goes_and_ordinary_texts_stay(spark):
+    rng = np.random.default_rng(5)
+    plain = [" ".join("".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(120)) for _ in range(300)]
+    odd = [t.replace(" ", "$$$ ", int(rng.integers(20, 119))) for t in plain[:200]]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(frame(spark, enumerate(plain + odd))).select("doc_id", "kept").collect()}
+    assert sum(kept[k] for k in range(300)) >= 298 and not any(kept[300 + k] for k in range(200))

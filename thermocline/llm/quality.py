@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,15 +17,18 @@ MOST_REPEATED = 50
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 STATISTICS = ("_x1", "_x2", "_x3", "_x4")
-KEPT_SHARE = 0.75  # of a group's rows: the subset whose covariance determinant is made small
-STEPS = 6  # concentration steps
+KEPT_SHARE = 0.5  # of a group's rows: the subset whose covariance determinant is made small
+MOST_STEPS = 100  # a guard only: concentration steps end when no group's determinant falls any more
+SETTLED = 1e-3  # least fall of a log determinant that counts
+MAD = 1.4826  # standard deviations in a median absolute deviation of normal data
 LEAST_GROUP = 100  # rows; smaller groups are judged by their language, then by all rows
 FLOOR = (0.05, 0.03, 0.03, 0.06)  # least standard deviation of each statistic
 CUT = 33.38  # 0.999999 quantile of chi-squared with 4 degrees of freedom
 BINS = 64  # distance bins per e-fold, for the cut between kept and other rows
 
-# Squared distance scale that makes the covariance of the nearest 75 % consistent for normal data with 4 dimensions.
-CONSISTENCY = 1.4945
+# Scale that makes the covariance of the nearest half consistent for normal data with 4 dimensions: 0.5 over the share of
+# chi-squared with 6 degrees of freedom below the median of that with 4.
+CONSISTENCY = 2.1090
 
 
 def _window_hashes(word_list: Column) -> Column:
@@ -101,19 +104,34 @@ def _vector() -> dict[str, Column]:
     }
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of each group; one row per group."""
+def _factored(out: DataFrame, spread: Callable[[int, int], Column]) -> DataFrame:
+    """Means, the Cholesky factor of the covariance ``spread`` with its floors, and the log of its determinant."""
     p = len(STATISTICS)
-    sums = [F.count("*").cast("double").alias("_n")] + [F.avg(x).alias(f"_m{i}") for i, x in enumerate(STATISTICS)]
-    sums += [F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"_c{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("_group").agg(*sums)
     for i in range(p):
         for j in range(i + 1):
-            value = F.col(f"_c{i}{j}") * CONSISTENCY + (FLOOR[i] ** 2 if i == j else 0.0)
+            value = spread(i, j) + (FLOOR[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 value = value - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
             out = out.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"_l{j}{j}"))
-    return out.select("_group", *[f"_m{i}" for i in range(p)], *[f"_l{i}{j}" for i in range(p) for j in range(i + 1)])
+    det = sum((F.log(f"_l{i}{i}") for i in range(p)), F.lit(0.0))
+    return out.select("_group", *[f"_m{i}" for i in range(p)], *[f"_l{i}{j}" for i in range(p) for j in range(i + 1)], det.alias("_det"))
+
+
+def _moments(rows: DataFrame, scale: float = CONSISTENCY) -> DataFrame:
+    """Mean and Cholesky factor of the covariance of each group; one row per group."""
+    p = len(STATISTICS)
+    sums = [F.avg(x).alias(f"_m{i}") for i, x in enumerate(STATISTICS)]
+    sums += [F.covar_pop(STATISTICS[i], STATISTICS[j]).alias(f"_c{i}{j}") for i in range(p) for j in range(i + 1)]
+    return _factored(rows.groupBy("_group").agg(*sums), lambda i, j: F.col(f"_c{i}{j}") * scale)
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """The start that no half of the rows can move: coordinate-wise medians and median absolute deviations."""
+    p = len(STATISTICS)
+    half = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(1000))
+    middles = stored(rows.groupBy("_group").agg(*[half(F.col(x)).alias(f"_m{i}") for i, x in enumerate(STATISTICS)]), "mcd-medians")
+    off = rows.join(middles, "_group").groupBy("_group").agg(*[half(F.abs(F.col(x) - F.col(f"_m{i}"))).alias(f"_s{i}") for i, x in enumerate(STATISTICS)])
+    return _factored(off.join(middles, "_group"), lambda i, j: F.pow(F.col(f"_s{i}") * MAD, 2) if i == j else F.lit(0.0))
 
 
 def _distance(rows: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -145,16 +163,26 @@ def _nearest(rows: DataFrame, label: str) -> DataFrame:
 
 
 def group_shapes(rows: DataFrame, label: str = "mcd") -> DataFrame:
-    """Robust mean and covariance of each ``_group`` of stored rows: concentration steps from the coordinates' own spread.
+    """Robust mean and covariance of each ``_group`` of stored rows: the nearest half with the least determinant found.
 
-    Start: rows ranked by their distance from the group's mean in units of its covariance; each step keeps the rows
-    nearest to the present shape and takes their mean and covariance, which never raises the determinant. The floor
-    under the variances keeps the determinant positive where most rows agree exactly.
+    Two starts, the group's medians with their absolute deviations and its mean with its covariance, run side by side. Each step keeps the
+    half of the rows nearest to the present shape and takes their mean and covariance, which lowers the determinant or leaves it; steps go
+    on until no determinant falls. The start with the lesser determinant gives the shape, so that up to half of a group may be junk. The
+    floor under the variances keeps the determinant positive where most rows agree exactly.
     """
-    shapes = stored(_moments(rows), f"{label}-shape")
-    for _ in range(STEPS):
-        shapes = stored(_moments(_nearest(_distance(rows, shapes), f"{label}-cut")), f"{label}-shape")
-    return shapes
+    start = lambda shapes, k: shapes.withColumn("_group", F.concat(F.lit(f"{k} "), "_group"))
+    shapes = stored(start(_medians(rows), 0).union(start(_moments(rows, 1.0), 1)), f"{label}-shape")
+    twice = rows.withColumn("_group", F.explode(F.array(*[F.concat(F.lit(f"{k} "), "_group") for k in range(2)])))
+    for step in range(MOST_STEPS):
+        following = stored(_moments(_nearest(_distance(twice, shapes), f"{label}-cut")), f"{label}-shape")
+        fallen = shapes.select("_group", F.col("_det").alias("_before")).join(following, "_group").where(F.col("_det") < F.col("_before") - SETTLED)
+        last = step > 0 and fallen.isEmpty()  # a start's determinant is not that of a subset
+        shapes = following
+        if last:
+            break
+    best = Window.partitionBy("_of").orderBy("_det", "_group")
+    chosen = shapes.withColumn("_of", F.substring("_group", 3, 1 << 30)).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") == 1)
+    return stored(chosen.withColumn("_group", F.col("_of")).drop("_of", "_nth", "_det"), f"{label}-best")
 
 
 def quality_rules(docs: DataFrame, cut: float = CUT, carry: Sequence[str] | None = None) -> DataFrame:
