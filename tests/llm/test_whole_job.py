@@ -1,9 +1,10 @@
 """Cases that operators once left out: each does the whole job."""
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from thermocline.llm import jaccard, quality, simhash
+from thermocline.llm import jaccard, quality, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -60,3 +61,13 @@ def test_junk_of_two_fifths_goes_and_ordinary_texts_stay(spark):
     odd = [t.replace(" ", "$$$ ", int(rng.integers(20, 119))) for t in plain[:200]]
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(frame(spark, enumerate(plain + odd))).select("doc_id", "kept").collect()}
     assert sum(kept[k] for k in range(300)) >= 298 and not any(kept[300 + k] for k in range(200))
+
+
+def test_all_of_a_long_word_is_scored():
+    glued = "x" * 60
+    windows, owner, words = toxicity._windows(pa.array([glued + "vilebad", "a b", None, glued], pa.large_string()))
+    read = ["".join(words[k] for k in windows[n] if k < len(words)) for n in range(len(windows))]
+    assert read == [glued + "vilebad", "ab", "", glued] and max(map(len, words)) <= toxicity.PIECE
+    han = "".join(chr(0x4E00 + k) for k in range(9000))
+    windows, owner, words = toxicity._windows(pa.array([han], pa.large_string()))
+    assert {c for k in windows.ravel() if k < len(words) for c in words[k]} == set(han)

@@ -15,6 +15,7 @@ from thermocline.llm.gru import Adam, Direction
 
 HIDDEN = 8
 WINDOW, STRIDE = 64, 32  # words; every window of a text is scored
+PIECE = 40  # characters; longer words, as in scripts without spaces, are read as several
 VOCABULARY = 6000  # most words with an input row of their own
 GRAMS = 4096  # input rows of hashed character trigrams
 LEAST_SEEN = 5  # training documents that hold a word of the vocabulary
@@ -52,7 +53,7 @@ class WindowScorer:
         rows = np.array([get(w, 0) for w in words], dtype=np.int64)
         grams, ends = [], [0]
         for w in words:
-            b = f"<{w[:40]}>>".encode()  # never without a trigram
+            b = f"<{w}>>".encode()  # never without a trigram
             grams += [zlib.crc32(b[k : k + 3]) % GRAMS for k in range(len(b) - 2)]
             ends.append(len(grams))
         return rows, np.array(grams, dtype=np.int64), np.array(ends, dtype=np.int64)
@@ -108,6 +109,17 @@ class WindowScorer:
         return 1 / (1 + np.exp(-np.concatenate(parts).astype(np.float64))) if parts else np.zeros(0)
 
 
+def _pieces(offsets: np.ndarray, codes: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The same texts with words over PIECE characters as consecutive pieces, each in a place of its own."""
+    numbers: dict[str, int] = {}
+    cut = [[numbers.setdefault(w[at : at + PIECE], len(numbers)) for at in range(0, max(1, len(w)), PIECE)] for w in words]
+    sizes = np.array([len(c) for c in cut], dtype=np.int64)
+    flat, begins = np.array([n for c in cut for n in c], dtype=np.int64), np.cumsum(sizes) - sizes
+    ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes[codes])
+    return ends[offsets], flat[np.repeat(begins[codes], sizes[codes]) + place], list(numbers)
+
+
 def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows (N, T) of distinct-word numbers over every whole text, the text of each, and the distinct words."""
     split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), SEPARATOR)
@@ -115,6 +127,8 @@ def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     offsets = np.asarray(split.offsets)
     coded = flat.dictionary_encode()
     words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+    if any(len(w) > PIECE for w in words):
+        offsets, codes, words = _pieces(offsets, codes, words)
     codes = np.append(codes, len(words))
     sizes = offsets[1:] - offsets[:-1]
     counts = np.maximum(1, -(-(sizes - STRIDE) // STRIDE))
