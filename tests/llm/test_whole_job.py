@@ -2,9 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thermocline.llm import jaccard, quality, simhash, toxicity
+from thermocline.llm import jaccard, language, quality, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -71,3 +72,19 @@ def test_all_of_a_long_word_is_scored():
     han = "".join(chr(0x4E00 + k) for k in range(9000))
     windows, owner, words = toxicity._windows(pa.array([han], pa.large_string()))
     assert {c for k in windows.ravel() if k < len(words) for c in words[k]} == set(han)
+
+
+def test_copies_do_not_fill_the_training_samples(spark, monkeypatch):
+    # One text in 200 copies, sorting before all others of its language, and one rare language.
+    candidates = frame(spark, [(k, f"abc text number {k}") for k in range(60)]).select("text", F.xxhash64("text").alias("h")).orderBy("h").collect()
+    first, others = candidates[0]["text"], [r["text"] for r in candidates[1:]]
+    rows = [(k, first, "xx", 0) for k in range(200)] + [(200 + k, t, "xx", k % 2) for k, t in enumerate(others)] + [(900, others[-1] + "\u00fc", "yy", 1)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, target, seed: seen.append(list(zip(texts, target.tolist()))))
+    toxicity.train_scorer(docs, labels, sample=10)
+    assert len(seen[0]) == len(set(seen[0])) == 20 and sum(t for _, t in seen[0]) == 10
+    monkeypatch.setattr(language.ByteTagger, "train", lambda self, ids, targets: seen.append(np.bincount(targets).tolist()))
+    assert language.train_tagger(docs, sample=20).labels == ["xx", "yy"]
+    assert seen[1][0] >= 10 and seen[1][1] >= 1

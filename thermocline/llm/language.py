@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermocline.llm.common import stored
 from thermocline.llm.gru import Adam, Direction, softmax
 
 HIDDEN = 8
 WINDOW = 64  # bytes that the network reads at a time; windows cover each whole text
 TOGETHER = 2048  # windows that step together
-SAMPLE = 3000  # most training documents
+SAMPLE = 3000  # training texts, shared out evenly among the languages
 CUTS, CUT_CHARS = 4, 64  # stretches of each training document, at hashed places
 STEPS, BATCH, RATE = 260, 256, 0.02
 UNKNOWN = "und"
@@ -98,16 +99,20 @@ def held_out(key: Column, parts: int, part: int) -> Column:
 
 
 def train_tagger(docs: DataFrame, sample: int = SAMPLE) -> ByteTagger | None:
-    """A tagger fitted on stretches of at most ``sample`` labelled documents, the ones with the least hashes of their texts.
+    """A tagger fitted on stretches of about ``sample`` different labelled texts, those with the least hashes of each language.
 
-    Null languages and texts are left out; without any labelled text there is no tagger.
+    Every language has an equal share of the sample and at least one text, however rare it is; copies of a text count once. Null languages and texts are left out; without any labelled text there is no tagger.
     """
     places = [F.pmod(F.xxhash64(F.lit(k), "text"), F.greatest(F.length("text") - CUT_CHARS + 1, F.lit(1))).cast("int") for k in range(CUTS)]
     cuts = F.array(*[F.substr("text", p + 1, F.lit(CUT_CHARS)) for p in places])
-    rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-        .select("lang", cuts.alias("cuts"), F.xxhash64("text").alias("_h")).orderBy("_h", "lang").limit(sample).collect()  # bounded by the sample
-    )
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).withColumn("_h", F.xxhash64("text"))
+    least = stored(rows.select("lang", "_h").distinct(), "language-texts")
+    langs = least.select("lang").distinct().count()
+    share = -(-sample // max(1, langs))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))  # cut inside each task first
+    hashes = least.withColumn("_nth", order).where(F.col("_nth") <= share).select("lang", "_h")
+    found = rows.join(hashes, ["lang", "_h"], "left_semi").dropDuplicates(["lang", "_h"]).select("lang", cuts.alias("cuts"))
+    rows = found.collect()  # bounded by the sample, or one row a language
     pairs = sorted({(r["lang"], c.encode()[:WINDOW]) for r in rows for c in r["cuts"]})
     if not pairs:
         return None

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thermocline.llm.common import stored
 from thermocline.llm.gru import Adam, Direction
 
 HIDDEN = 8
@@ -139,7 +140,7 @@ def _windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def train_scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 1) -> WindowScorer | None:
-    """A scorer fitted on at most ``sample`` labelled documents of each label, up to ``SAMPLE_CHARS`` characters long.
+    """A scorer fitted on at most ``sample`` different labelled texts of each label, up to ``SAMPLE_CHARS`` characters long.
 
     A document's label holds for its worst window only: after a first round on all windows, toxic documents are represented by their
     highest windows, others by all, so the windows learn what the documents are marked for. Null labels are left out;
@@ -147,9 +148,10 @@ def train_scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed:
     """
     text = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     rows = text.join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id").withColumn("_h", F.xxhash64("text"))
-    chosen = []
-    for value in (0, 1):  # bounded by the sample
-        chosen += rows.where(F.col("toxic") == value).orderBy("_h", "doc_id").limit(sample).collect()
+    least = stored(rows.select("toxic", "_h").distinct(), "toxicity-texts")
+    few = [least.where(F.col("toxic") == value).orderBy("_h").limit(sample) for value in (0, 1)]
+    found = rows.join(few[0].union(few[1]), ["toxic", "_h"], "left_semi").dropDuplicates(["toxic", "_h"])
+    chosen = sorted(found.select("toxic", "_h", "text").collect())  # bounded by the sample
     target = np.array([r["toxic"] for r in chosen], dtype=np.float32)
     if len(set(target.tolist())) < 2:
         return None
