@@ -18,8 +18,7 @@ MOST_REPEATED = 50
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 STATISTICS = ("_x1", "_x2", "_x3", "_x4")
 KEPT_SHARE = 0.5  # of a group's rows: the subset whose covariance determinant is made small
-MOST_STEPS = 100  # a guard only: concentration steps end when no group's determinant falls any more
-SETTLED = 1e-3  # least fall of a log determinant that counts
+SETTLED = 1e-3  # least fall of a log determinant that counts; concentration steps go on until there is none
 MAD = 1.4826  # standard deviations in a median absolute deviation of normal data
 LEAST_GROUP = 100  # rows; smaller groups are judged by their language, then by all rows
 FLOOR = (0.05, 0.03, 0.03, 0.06)  # least standard deviation of each statistic
@@ -166,22 +165,28 @@ def group_shapes(rows: DataFrame, label: str = "mcd") -> DataFrame:
     """Robust mean and covariance of each ``_group`` of stored rows: the nearest half with the least determinant found.
 
     Two starts, the group's medians with their absolute deviations and its mean with its covariance, run side by side. Each step keeps the
-    half of the rows nearest to the present shape and takes their mean and covariance, which lowers the determinant or leaves it; steps go
-    on until no determinant falls. The start with the lesser determinant gives the shape, so that up to half of a group may be junk. The
-    floor under the variances keeps the determinant positive where most rows agree exactly.
+    half of the rows nearest to the present shape and takes their mean and covariance; a group takes steps until its determinant falls no
+    more (distance bins vary the subset a little, so it is held against the least so far). The start with the lesser determinant gives the
+    shape, so that nearly half of a group may be junk. The floor under the variances keeps the determinant positive where most rows agree
+    exactly.
     """
     start = lambda shapes, k: shapes.withColumn("_group", F.concat(F.lit(f"{k} "), "_group"))
     shapes = stored(start(_medians(rows), 0).union(start(_moments(rows, 1.0), 1)), f"{label}-shape")
-    twice = rows.withColumn("_group", F.explode(F.array(*[F.concat(F.lit(f"{k} "), "_group") for k in range(2)])))
-    for step in range(MOST_STEPS):
-        following = stored(_moments(_nearest(_distance(twice, shapes), f"{label}-cut")), f"{label}-shape")
-        fallen = shapes.select("_group", F.col("_det").alias("_before")).join(following, "_group").where(F.col("_det") < F.col("_before") - SETTLED)
-        last = step > 0 and fallen.isEmpty()  # a start's determinant is not that of a subset
-        shapes = following
-        if last:
+    twice = stored(rows.withColumn("_group", F.explode(F.array(*[F.concat(F.lit(f"{k} "), "_group") for k in range(2)]))), f"{label}-starts")
+    settled = None  # the shape of least determinant so far; a start's own determinant is not that of a subset
+    while True:
+        falling = twice.join(shapes.select("_group"), "_group", "left_semi")
+        shapes = stored(_moments(_nearest(_distance(falling, shapes), f"{label}-cut")), f"{label}-shape")
+        if settled is None:
+            settled = shapes
+            continue
+        before = settled.select("_group", F.col("_det").alias("_before"))
+        shapes = stored(shapes.join(before, "_group").where(F.col("_det") < F.col("_before") - SETTLED).drop("_before"), f"{label}-fallen")
+        if shapes.isEmpty():
             break
+        settled = stored(settled.join(shapes, "_group", "left_anti").union(shapes), f"{label}-least")
     best = Window.partitionBy("_of").orderBy("_det", "_group")
-    chosen = shapes.withColumn("_of", F.substring("_group", 3, 1 << 30)).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") == 1)
+    chosen = settled.withColumn("_of", F.substring("_group", 3, 1 << 30)).withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") == 1)
     return stored(chosen.withColumn("_group", F.col("_of")).drop("_of", "_nth", "_det"), f"{label}-best")
 
 
