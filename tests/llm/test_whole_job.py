@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thermocline.llm import jaccard, language, quality, simhash, toxicity
+from thermocline.llm import decontaminate, language, quality, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -18,32 +18,32 @@ def prose(rng, n, size=400):
     return [f"w{k}" for k in rng.integers(0, size, n)]
 
 
-def test_pipeline_drops_near_copies_that_fingerprints_keep_apart(spark):
-    rng = np.random.default_rng(1)
-    texts = {}
-    for g in range(6):
-        base = prose(rng, 150)
-        for c in range(8):
-            copy = list(base)
-            for at in rng.choice(150, c % 4, replace=False):
-                copy[at] = "changed"
-            texts[100 * g + c] = " ".join(copy)
-    texts |= {900: None, 901: "", 902: "one two", 903: " ONE\ttwo\n"}
-    sets = {}
-    for k, t in texts.items():
-        w = (t or "").lower().split()
-        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    want = {k: k for k in texts}
-    for _ in texts:
-        for a in texts:
-            for b in texts:
-                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    want[a] = want[b] = min(want[a], want[b])
-    docs = frame(spark, texts.items())
-    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(docs).collect()} == want
-    by_bits = {r["component_id"] for r in simhash.near_duplicates(docs, similarity=None).collect()}
-    single = corpus_pipeline.dedup_stage(spark, docs, "")
-    assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(want.values())) and len(by_bits) > len(set(want.values()))
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    base = "one two three four five six seven eight nine ten " * 6
+    rows = [(7, base), (7, "quite another text of its own with words"), (3, base.upper()), (None, base), (None, None), (9, ""), (4, "\t\n"), (3, base)]
+    docs = frame(spark, rows)
+    left = corpus_pipeline.dedup_stage(spark, docs, "")
+    assert left.columns == docs.columns
+    kept = left.collect()
+    assert sorted((r["doc_id"], (r["text"] or "").lower()) for r in kept) == [(3, base), (4, "\t\n"), (7, rows[1][1])]
+    assert corpus_pipeline.dedup_stage(spark, docs.limit(0), "").count() == 0
+    clash = corpus_pipeline.dedup_stage(spark, docs.withColumn("row", docs["doc_id"]).withColumn("ROW_", docs["text"]), "")
+    assert clash.count() == 3 and clash.columns[-2:] == ["row", "ROW_"]
+
+
+def test_long_and_foreign_items_are_found(spark):
+    rng = np.random.default_rng(9)
+    weights = 1.0 / np.arange(1, 20_001)
+    words = np.array([f"w{k}" for k in range(20_000)])
+    draw = lambda n: " ".join(rng.choice(words, n, p=weights / weights.sum()))
+    items = [(k, draw(n)) for k, n in enumerate([300] * 12 + [500] * 12 + [65, 90, 30])]
+    items += [(100, "ΤΟ ΝΗΣΙ ΤΟΥ ΟΔΥΣΣΕΑ ΕΙΝΑΙ Ο ΤΟΠΟΣ ΤΩΝ ΑΝΕΜΩΝ ΚΑΙ ΤΗΣ ΘΑΛΑΣΣΑΣ"), (101, "İSTANBUL BÜYÜK BİR ŞEHİRDİR VE İKİ KITAYI BİRLEŞTİRİR DENİZ İLE")]
+    docs = [(k, f"{draw(int(rng.integers(0, 200)))} {text} {draw(150)}") for k, text in items] + [(500 + k, draw(600)) for k in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, docs), benchmark).collect()}
+    assert found == {(k, k) for k, _ in items}
+    twice = decontaminate.contaminated(frame(spark, docs[:2] * 2), benchmark).collect()
+    assert sorted(r["doc_id"] for r in twice) == [0, 0, 1, 1]
 
 
 def test_pipeline_drops_leaks_without_an_id(spark, tmp_path):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PASSAGE = 64  # words in a passage; passages overlap by half
-BLOCK = 32  # items in a block of the index
+BLOCK = 32  # pieces of items in a block of the index
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # share of the best score that a passage of this length can reach for the item
 SHINGLE = 5
@@ -23,8 +23,14 @@ INDEX_BYTES = 16 << 20  # item texts in one index; more items are queried in as
 FOUND = "row long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+def _split(texts: pa.Array) -> pa.Array:
+    """Lower-cased words (runs of letters and numbers) of each text; items and texts go through the same function."""
+    lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    return pc.split_pattern_regex(lowered, r"[^\p{L}\p{N}]+")
+
+
+def _words(texts: list[str]) -> list[list[str]]:
+    return [[w for w in words if w] for words in _split(pa.array(texts, pa.large_string())).to_pylist()]
 
 
 def _shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -33,24 +39,36 @@ def _shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 def _parts(text: str) -> tuple[list[str], list[str]]:
     """Question and answer of an item: the answer is its last sentence or line; a single sentence is both."""
-    pieces = [w for w in (_words(p) for p in re.split(r"(?<=[.?!])\s+|\n+", text.strip())) if w]
+    pieces = [w for w in _words(re.split(r"(?<=[.?!])\s+|\n+", text.strip())) if w]
     if len(pieces) < 2:
         return (pieces[0], pieces[0]) if pieces else ([], [])
     return [w for p in pieces[:-1] for w in p], pieces[-1]
 
 
+def _pieces(words: list[str]) -> list[list[str]]:
+    """What retrieves an item: all its words if a passage holds them, else overlapping pieces of half a passage. Wherever a copy of such a piece
+    stands, one passage holds all of it, so a verbatim long item is retrieved whatever its rare words are."""
+    if len(words) <= PASSAGE:
+        return [words]
+    length, step = PASSAGE // 2, PASSAGE // 4
+    return [words[k : k + length] for k in (*range(0, len(words) - length, step), len(words) - length)]
+
+
 class Index:
-    """Inverted index with impacts as shares of each item's best score, and their maxima per block of items."""
+    """Inverted index of the items' pieces with impacts as shares of a piece's best score, and their maxima per block of pieces."""
 
     def __init__(self, items: list[tuple[int, str]], idf: dict[str, float], average: float):
         self.ids = [i for i, _ in items]
         self.parts = [_parts(t) for _, t in items]
         self.shingles = [tuple(map(_shingles, p)) for p in self.parts]
-        self.lengths = [len(_words(t)) for _, t in items]
+        worded = _words([t for _, t in items])
+        self.lengths = [len(w) for w in worded]
+        pieces = [(k, piece) for k, words in enumerate(worded) for piece in _pieces(words)]
+        self.owner = [k for k, _ in pieces]
         self.terms: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
-        for k, (_, text) in enumerate(items):
-            counted = Counter(_words(text))
+        for k, (_, piece) in enumerate(pieces):
+            counted = Counter(piece)
             norm = K1 * (1 - B + B * sum(counted.values()) / average)
             impacts = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in counted.items()}
             best = sum(sorted(impacts.values(), reverse=True)[:PASSAGE])
@@ -59,7 +77,7 @@ class Index:
                 if place == len(postings):
                     postings.append([])
                 postings[place].append((k, impact / best))
-        self.blocks = -(-len(items) // BLOCK)
+        self.blocks = -(-len(pieces) // BLOCK)
         starts = np.cumsum([0] + [len(p) for p in postings])
         self.starts = starts
         self.item = np.array([k for p in postings for k, _ in p], dtype=np.int64)
@@ -88,7 +106,7 @@ class Index:
             exact = np.zeros((len(terms), BLOCK), dtype=np.float32)
             exact[owner[mine], self.item[at[mine]] - b * BLOCK] = impacts[mine]
             scored = has[open_rows] @ exact
-            found += [(int(open_rows[r]), int(b * BLOCK + c), float(scored[r, c])) for r, c in zip(*np.nonzero(scored >= THRESHOLD - 1e-4))]
+            found += [(int(open_rows[r]), self.owner[b * BLOCK + c], float(scored[r, c])) for r, c in zip(*np.nonzero(scored >= THRESHOLD - 1e-4))]
         return found
 
     def overlaps(self, words: list[str], item: int) -> tuple[float, float]:
@@ -98,14 +116,11 @@ class Index:
 
 def _queried(index: Index):
     """Task code: all passages of each text against the index; verified pairs, the best one for each text and item."""
-    splitter = r"[^\p{L}\p{N}]+"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                texts = pc.utf8_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), ""))
-                split = pc.split_pattern_regex(texts, splitter)
+                split = _split(batch.column("text"))
                 offsets, coded = np.asarray(split.offsets), split.flatten().dictionary_encode()
                 terms = np.array([index.terms.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
                 codes = np.asarray(coded.indices)
@@ -114,7 +129,7 @@ def _queried(index: Index):
                 run_sum = np.concatenate([[0.0], np.cumsum(index.most[term], dtype=np.float64)])
                 half = PASSAGE // 2
                 counts = np.maximum(1, -(-(offsets[1:] - offsets[:-1] - half) // half))
-                doc = np.repeat(np.arange(len(texts)), counts)
+                doc = np.repeat(np.arange(len(split)), counts)
                 first = offsets[:-1][doc] + half * (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts))
                 last = np.minimum(first + PASSAGE, offsets[1:][doc])
                 likely = np.flatnonzero(run_sum[last] - run_sum[first] >= THRESHOLD - 1e-4)
@@ -159,12 +174,12 @@ def _indexes(items: DataFrame) -> list[Index]:
     parts = [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).select("item_id", "text") for k in range(passes)]
     for part in parts:
         for row in part.toLocalIterator():
-            found = _words(row["text"])
-            counted.update(set(found))
-            total, length = total + 1, length + len(found)
+            for piece in _pieces(_words([row["text"]])[0]):
+                counted.update(set(piece))
+                total, length = total + 1, length + len(piece)
     idf = {t: float(np.log(1 + (total - n + 0.5) / (n + 0.5))) for t, n in counted.items()}
     for part in parts:
-        chosen = sorted({(r["item_id"], r["text"]) for r in part.collect() if _words(r["text"])})
+        chosen = sorted({(r["item_id"], r["text"]) for r in part.collect() if _words([r["text"]])[0]})
         if chosen:
             indexes.append(Index(chosen, idf, length / total))
     return indexes
@@ -174,7 +189,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> Data
     """``key``, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``, ``first_word`` of each text and test item it holds.
 
     Passages of 64 words, each half overlapping the next, cover every whole text. A passage retrieves an item if its BM25 score is at least
-    half of the best that a passage could reach; the pair stays if at least 0.8 of the five-word shingles of the item's question
+    half of the best that a passage could reach, for an item of over 64 words that of one of its overlapping pieces; the pair stays if at least 0.8 of the five-word shingles of the item's question
     and of its answer stand around the passage. Null and empty texts and items match nothing; repeated rows are found
     repeatedly; an empty table gives no rows; other columns are ignored.
 

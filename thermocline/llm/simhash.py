@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.llm import jaccard
 from thermocline.llm.common import stored
 from thermocline.llm.components import components
 
@@ -55,13 +54,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found.view(np.int64))], names=[*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``: bit b is 1 if it is set in over half of the hashes of the text's 3-word shingles.
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key`` as ``doc_id`` and ``fp``: bit b is 1 if it is set in over half of the hashes of the text's 3-word shingles.
 
     A-Z is lower-cased and words end at ASCII white space. Fewer than three words are one shingle; null and wordless texts
     have fingerprint 0.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _bytes(fp: Column, positions: tuple[int, ...]) -> Column:
@@ -101,24 +100,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(through).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = jaccard.SHINGLE, similarity: float | None = jaccard.SIMILARITY) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits, of 3-word shingles) and ``component_id``, the smallest ``doc_id`` reachable over links.
+def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, ``fingerprint`` (16 hex digits, of 3-word shingles) and ``component_id``, the smallest ``key`` reachable over links.
 
-    Texts link at a Jaccard similarity of ``similarity`` or more of their ``width``-word shingles; fingerprints cannot tell that, since
-    such texts often differ in three to eleven bits. With ``similarity=None``, the contract of op6, fingerprints link instead, at two or
-    fewer differing bits. Copies meet in one grouping with partial aggregation and are never
-    paired. Null ids are kept and count as larger than all others; repeated rows give repeated rows; an empty table gives none.
-    Only ``doc_id`` and ``text`` are read.
+    Fingerprints link at two or fewer differing bits. Copies meet in one grouping with partial aggregation and are never paired. Null keys
+    are kept and count as larger than all others; repeated rows give repeated rows; an empty table gives none. Only ``key`` (a whole number)
+    and ``text`` are read.
     """
-    if similarity is not None:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), jaccard.text_node().alias("node"), "text")
-        printed = rows.mapInArrow(_fingerprints, "doc_id long, node long, fp long")
-        named = jaccard.with_component(printed, jaccard.node_roots(rows.select("node", "text"), width, similarity))
-        return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    found = stored(fingerprints(docs), "simhash")
+    found = stored(fingerprints(docs, key), "simhash")
     classes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = stored(components(links(classes.select("fp")), "simhash-links"), "simhash-roots")
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.join(named, "fp").select(F.col("doc_id").alias(key), fingerprint, "component_id")
