@@ -1,7 +1,6 @@
-"""A corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token files.
+"""A corpus pipeline: quality rules, SimHash near-duplicates, decontamination, mixing, token files.
 
 Each stage is written as Parquet and read again by the next one. All but the last keep the columns of ``documents``.
-Rows with one ``doc_id`` are taken to be repeats of one document.
 """
 
 from __future__ import annotations
@@ -9,32 +8,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermocline.llm import decontaminate, jaccard, mixing, quality, token_files
+from thermocline.llm import decontaminate, mixing, quality, simhash, token_files
 from thermocline.llm.common import stored
 
 
+def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, written once so that it stays theirs, and the name of its column, which none of theirs has."""
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and lie near the robust shape of their language and source."""
     return quality.quality_rules(docs).where("kept").select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by a similarity of 0.8 or more of their 5-word shingles: the smallest id, one row of it.
-
-    Documents without an id have no group and stay.
-    """
-    found = jaccard.similar_components(docs.where(F.col("doc_id").isNotNull()))
-    kept = stored(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept-ids")
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each group of fingerprints linked at two or fewer bits: the one with the smallest id, null last, then the first in the table."""
+    rows, name = _numbered(docs, "dedup-rows")
+    found = simhash.near_duplicates(rows, name).select(F.col(name).alias("place"), "component_id")
+    ids = rows.select(F.col(name).alias("place"), F.col("doc_id").alias("id"))
+    best = found.join(ids, "place").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first"))
+    kept = stored(best.select(F.col("first.place").alias(name)), "dedup-kept")
+    return rows.join(kept, name, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Leaks are found by the text alone and named by its hash, so rows without an id leave as well."""
+    """Documents that hold no benchmark item. Leaks are named by their row, so rows without an id, or with that of another one, are told apart."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    named = docs.withColumn("_row", F.xxhash64("text"))
-    leaks = stored(decontaminate.contaminated(named, items, "_row").select("_row").distinct(), "leaks")
-    return named.join(leaks, "_row", "left_anti").select(*docs.columns)
+    rows, name = _numbered(docs, "leak-rows")
+    leaks = stored(decontaminate.contaminated(rows, items, name).select(name).distinct(), "leaks")
+    return rows.join(leaks, name, "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
