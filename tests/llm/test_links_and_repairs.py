@@ -71,9 +71,10 @@ def test_chosen_paths_equal_brute_force(spark, monkeypatch):
     texts = texts_with_groups(np.random.default_rng(4))
     docs = with_clashes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
     roots, sizes = brute_components(texts)
-    for few, small in ((chosen_path.FEW, chosen_path.SMALL), (2, 40)):  # the second makes nodes branch on
-        monkeypatch.setattr(chosen_path, "FEW", few)
-        monkeypatch.setattr(chosen_path, "SMALL", small)
+    # First as in production; then nodes branch on; then they are cut into pieces at once, with few or many classes outside the largest component.
+    for few, small, tiny, levels in ((64, 4096, 32, 8), (2, 40, 8, 8), (2, 10, 4, 1), (300, 10, 4, 1)):
+        for name, value in (("FEW", few), ("SMALL", small), ("TINY", tiny), ("MOST_LEVELS", levels)):
+            monkeypatch.setattr(chosen_path, name, value)
         rows = chosen_path.similar_components(docs).orderBy("doc_id").collect()
         assert [r["n_shingles"] for r in rows] == sizes
         assert [r["component_id"] for r in rows] == roots

@@ -27,9 +27,12 @@ COORDINATES = 128  # minwise tokens of a class
 RECALL = 0.9999  # of a pair at the threshold that meets at level RECALL_LEVEL
 RECALL_LEVEL = 3
 MOST_LEVELS = 8  # nodes still large there are compared as they are
-SMALL = 1 << 22  # comparisons of a small node; a node with at most FEW classes outside its largest component is small as well
-FEW = 64
-SPREAD = 6.0  # standard deviations of the number of differing sketch bits that a comparison allows
+SMALL = 4096  # classes of a small node, whose shingles are no more than SMALL_SETS
+SMALL_SETS = 1 << 22
+TINY = 32  # classes of a node whose pairs are joined; larger ones are compared inside a task, which returns links alone
+FEW = 64  # classes outside the largest component of a node that is compared whatever its size
+STRIP = 256  # classes compared with all others of a node in a step of task code
+SPREAD = 5.0  # standard deviations of the number of differing sketch bits that a comparison allows
 TOGETHER = 256  # texts in a step of task code
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,54 +186,172 @@ def _verified(width: int, similarity: float):
     return run
 
 
+def _allowed_bits(similarity: float) -> int:
+    share = (1.0 - similarity) / 2.0
+    return math.ceil(COORDINATES * share + SPREAD * math.sqrt(COORDINATES * share * (1.0 - share)))
+
+
 def _alike(x: str, y: str, similarity: float) -> Column:
     """What two classes of at least that similarity must fulfil: sizes within the ratio and sketches within the allowed bits."""
-    share = (1.0 - similarity) / 2.0
-    bits = math.ceil(COORDINATES * share + SPREAD * math.sqrt(COORDINATES * share * (1.0 - share)))
     differing = sum((F.bit_count(F.col(f"{c}_{x}").bitwiseXOR(F.col(f"{c}_{y}"))) for c in ("low", "high")), F.lit(0))
     sizes = F.least(f"n_{x}", f"n_{y}") >= similarity * F.greatest(f"n_{x}", f"n_{y}") - 1e-9
-    return sizes & (differing <= bits)
+    return sizes & (differing <= _allowed_bits(similarity))
+
+
+class _Node:
+    """The classes of a node in a task, by size, so that those within the ratio of sizes stand next to each other."""
+
+    def __init__(self, table: pa.Table, similarity: float):
+        sizes = np.asarray(table.column("n"))
+        self.order = np.argsort(sizes, kind="stable")
+        self.node, self.root, self.n, self.low, self.high = (
+            np.asarray(table.column(c))[self.order] for c in ("node", "root", "n", "low", "high")
+        )
+        self.low, self.high = self.low.view(np.uint64), self.high.view(np.uint64)  # bits of negative numbers are counted without their sign
+        self.ends = np.searchsorted(self.n, self.n / similarity + 1e-9, side="right")
+        self.bits = _allowed_bits(similarity)
+
+    def near(self, start: int, stop: int) -> tuple[int, np.ndarray]:
+        """For the classes of a strip: whether each of those after ``start`` that may be similar to it differs in few enough bits."""
+        last = int(self.ends[stop - 1])
+        differing = sum(np.bitwise_count(x[start:stop, None] ^ x[None, start:last]).astype(np.uint8) for x in (self.low, self.high))
+        ahead = np.arange(start, last)[None] > np.arange(start, stop)[:, None]
+        return last, (differing <= self.bits) & ahead & (np.arange(start, last)[None] < self.ends[start:stop, None])
+
+
+ACTIVE = "at long, i int, j int, node long"
+
+
+def _active(similarity: float):
+    """Task code: the classes of a node that may be similar to one of another component, by size and sketch."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = _Node(table, similarity)
+        chosen = np.zeros(len(held.n), dtype=bool)
+        for start in range(0, len(held.n), STRIP):
+            stop = min(start + STRIP, len(held.n))
+            last, near = held.near(start, stop)
+            near &= held.root[start:stop, None] != held.root[None, start:last]
+            chosen[start:stop] |= near.any(axis=1)
+            chosen[start:last] |= near.any(axis=0)
+        table = table.take(pa.array(held.order[chosen]))
+        return table.select(["at", "i", "j", "node"])
+
+    return run
+
+
+def _node_links(similarity: float):
+    """Task code: links of a node's classes, confirmed on their full sets; classes that are already in one component are not compared again."""
+    least = round(similarity * 100, 6)
+
+    def run(table: pa.Table) -> pa.Table:
+        held = _Node(table, similarity)
+        sets = table.column("shingles").combine_chunks().take(pa.array(held.order))
+        sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+        starts = np.asarray(sets.offsets)[: len(held.n)] - np.asarray(sets.offsets)[0]
+        distinct, ids = np.unique(np.asarray(sets.flatten()), return_inverse=True)
+        marked = np.zeros(len(distinct), dtype=np.int32)
+        stops = starts + held.n
+        part = held.root.copy()
+        found: list[tuple[int, int]] = []
+        for start in range(0, len(held.n), STRIP):
+            stop = min(start + STRIP, len(held.n))
+            last, near = held.near(start, stop)
+            for k in range(start, stop):
+                others = start + np.flatnonzero(near[k - start] & (part[start:last] != part[k]))
+                if not len(others):
+                    continue
+                marked[ids[starts[k] : stops[k]]] = 1
+                first, end = others[0], others[-1] + 1
+                shared = np.add.reduceat(marked[ids[starts[first] : stops[end - 1]]], starts[first:end] - starts[first])[others - first]
+                marked[ids[starts[k] : stops[k]]] = 0
+                for j in others[shared * 100 >= least * (held.n[k] + held.n[others] - shared)]:
+                    if part[j] != part[k]:
+                        found.append((int(max(held.node[k], held.node[j])), int(min(held.node[k], held.node[j]))))
+                        part[part == part[j]] = part[k]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
 
 
 def _named(df: DataFrame, suffix: str, keep: tuple[str, ...] = ("at",)) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in keep])
 
 
+def _texts(nodes: DataFrame, classes: DataFrame, read: DataFrame) -> DataFrame:
+    """``node`` and ``text`` of the classes in ``nodes``; only these texts are moved."""
+    rows = classes.select("node", "row").join(nodes, "node", "left_semi")
+    return stored(read.select("row", "text").join(rows, "row").drop("row"), "path-texts")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, read: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` of classes whose full shingle sets have the similarity; only texts in a pair are moved."""
+    """Those of the pairs ``a``, ``b`` of classes whose full shingle sets have the similarity."""
     wanted = stored(pairs.distinct(), "path-pairs")
-    nodes = wanted.select(F.col("a").alias("node")).union(wanted.select(F.col("b").alias("node"))).distinct()
-    rows = classes.select("node", "row").join(nodes, "node", "left_semi")
-    held = stored(read.select("row", "text").join(rows, "row").drop("row"), "path-texts")
+    held = _texts(wanted.select(F.col("a").alias("node")).union(wanted.select(F.col("b").alias("node"))).distinct(), classes, read)
     both = wanted.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
     return stored(both.mapInArrow(_verified(width, similarity), "a long, b long"), "path-links")
 
 
-def _compared(rooted: DataFrame, similarity: float, all_of_them: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the small nodes, and the rows of the large ones, of ``rooted`` (postings with the ``root`` known so far).
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            text, shingles = shingle_sets(batch.column("text"), width)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "shingles"])
+
+    return run
 
-    A node whose classes have one root is done. In the others only classes outside the largest component of the node meet the rest,
-    so a node with many copies of one text costs as many comparisons as it has classes times the few others.
+
+def _in_tasks(rows: DataFrame, classes: DataFrame, read: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links of the nodes of ``rows``, each compared inside a task: by sketches first, then those that may be similar by their full sets.
+
+    Nodes that are not small are cut into pieces by a hash of the class, and a task compares two pieces. Where few classes stand outside the
+    largest component, these few are compared with each piece of the others instead.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    all_pieces = F.sequence(F.lit(0), F.col("pieces").cast("int") - 1)
+    in_pairs = F.transform(all_pieces, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    with_few = F.when(
+        F.col("root") == F.col("major"), F.array(F.struct(own.alias("i"), F.lit(0).alias("j")))
+    ).otherwise(F.transform(all_pieces, lambda k: F.struct(k.alias("i"), F.lit(0).alias("j"))))
+    cut = rows.select("at", "node", "root", "n", "low", "high", F.inline(F.when(F.col("others") <= FEW, with_few).otherwise(in_pairs)))
+    cut = stored(cut, "path-cut")
+    active = stored(cut.groupBy("at", "i", "j").applyInArrow(_active(similarity), ACTIVE), "path-active")
+    sets = stored(_texts(active.select("node").distinct(), classes, read).mapInArrow(_sets(width), "node long, shingles array<long>"), "path-sets")
+    held = cut.join(active, ["at", "i", "j", "node"], "left_semi").join(sets, "node")
+    return stored(held.groupBy("at", "i", "j").applyInArrow(_node_links(similarity), "a long, b long"), "path-links")
+
+
+def _compared(
+    rooted: DataFrame, classes: DataFrame, read: DataFrame, width: int, similarity: float, all_of_them: bool
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of the tiny nodes, links of the other small ones, and the rows of the large ones, of ``rooted`` (postings with the ``root`` known so far).
+
+    A node whose classes have one root is done. A node is large, and branches, if it has too many classes or shingles and not just
+    a few classes outside its largest component.
     """
-    parts = rooted.groupBy("at", "root").agg(F.count("*").alias("k"))
+    parts = rooted.groupBy("at", "root").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
     nodes = parts.groupBy("at").agg(
-        F.sum("k").alias("size"), F.max("k").alias("most"), F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")
+        F.sum("k").alias("size"), F.sum("s").alias("sets"), F.max("k").alias("most"),
+        F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots"),
     )
-    others = F.col("size") - F.col("most")
-    small = F.lit(True) if all_of_them else (others <= FEW) | (others * F.col("size") <= SMALL)
-    mixed = stored(nodes.where(F.col("roots") > 1).select("at", "major", small.alias("small")), "path-nodes")
+    small = (F.col("size") <= SMALL) & (F.col("sets") <= SMALL_SETS)
+    kind = F.when((F.col("size") <= TINY) & small, "tiny").when(small | (F.col("others") <= FEW) | F.lit(all_of_them), "task").otherwise("large")
+    pieces = F.when(small, F.lit(1)).otherwise(F.greatest(F.ceil(2 * F.col("size") / SMALL), F.ceil(2 * F.col("sets") / SMALL_SETS)))
+    mixed = nodes.where(F.col("roots") > 1).withColumn("others", F.col("size") - F.col("most"))
+    mixed = stored(mixed.select("at", "major", "others", kind.alias("kind"), pieces.cast("long").alias("pieces")), "path-nodes")
     open_ = stored(rooted.join(mixed, "at"), "path-open")
-    held = open_.where("small").drop("small")
-    a, b = _named(held.where(F.col("root") != F.col("major")).drop("major"), "a"), _named(held, "b")
+    tiny = open_.where("kind = 'tiny'").select("at", "node", "root", "n", "low", "high")
     pairs = (
-        a.join(b, "at")
-        .where((F.col("root_a") != F.col("root_b")) & ((F.col("node_a") < F.col("node_b")) | (F.col("root_b") == F.col("major_b"))))
-        .where(_alike("a", "b", similarity))
-        .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
+        _named(tiny, "a").join(_named(tiny, "b"), "at")
+        .where((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _alike("a", "b", similarity))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     )
-    return pairs, open_.where(~F.col("small")).select("at", "node")
+    links = _in_tasks(open_.where("kind = 'task'"), classes, read, width, similarity)
+    return pairs, links, open_.where("kind = 'large'").select("at", "node")
 
 
 def _shared(posted: DataFrame, label: str) -> DataFrame:
@@ -257,9 +378,10 @@ def class_roots(classes: DataFrame, read: DataFrame, width: int, similarity: flo
     pairs = None
     for level in range(MOST_LEVELS):
         rooted = posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found, large = _compared(rooted, similarity, level == MOST_LEVELS - 1)
+        found, confirmed, large = _compared(rooted, classes, read, width, similarity, level == MOST_LEVELS - 1)
         found = stored(found.distinct(), "path-found")
         pairs = found if pairs is None else pairs.union(found)
+        links = links.union(confirmed)
         if large.isEmpty():
             break
         posted = _shared(large.join(sketches, "node").mapInArrow(branch, POSTED), "path-level")
