@@ -9,20 +9,15 @@ from checks.compare import connect, differences
 from checks.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {
-    "l09_compare_models", "m01_random_forest", "m02_logistic", "m03_svm",
-    "m04_sequence_classifier", "m06_a20_saved_model_predictions",
-}
-SLOW = {"m05_train_models_rows", "a14_feature_store_forced", "a15_series_store", "k04_prepared_in_reef_areas"}
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
-def test_rows_only_queries_are_the_known_ones():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     mine = entry.queries()[name](spark, SF).toPandas()
     assert differences(mine, connect(SF).execute(entry.oracle_sql()[name]).df()) is None

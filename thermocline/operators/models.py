@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
+    MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermocline.operators.evaluation import classification_report, confusion_matrix, summary
+from thermocline.operators.evaluation import classification_report, confusion_matrix, log_loss, summary
 from thermocline.operators.features import FEATURES
 from thermocline.operators.split import stratified_split
 from thermocline.session import shared_folder
@@ -25,18 +28,21 @@ from thermocline.session import shared_folder
 MODEL_TYPES = ("random_forest", "logistic", "svm")
 # Forest size and depth, iteration limit, hidden layer width, seed.
 TREES, DEPTH, ITERATIONS, HIDDEN, SEED = 100, 10, 1000, 64, 42
-# Random cosine features that stand in for the radial kernel, and the solver's iteration limit there.
-KERNEL_FEATURES, MARGIN_ITERATIONS = 64, 100
+# Kernel classifier: landmarks, rows they are chosen from at most, calibration folds, the solver's iteration limit, and the share of the
+# largest eigenvalue under which a direction of the landmarks' kernel is left out.
+LANDMARKS, LANDMARK_ROWS, FOLDS, MARGIN_ITERATIONS, LEAST_EIGENVALUE = 64, 50_000, 3, 100, 1e-8
+# Sequence network: epochs, solver iterations in one, and epochs without a better validation loss before it stops.
+EPOCHS, EPOCH_ITERATIONS, PATIENCE = 50, 2, 10
 _INPUT, _CENTRED = "features", "_centred"
 
 
-def classifier(model_type: str, train: DataFrame, inputs: Sequence[str] = FEATURES, **params) -> Pipeline:
-    """Unfitted pipeline from feature columns to ``prediction`` and ``probability``.
+def classifier(model_type: str, train: DataFrame, inputs: Sequence[str] = FEATURES, **params) -> Pipeline | KernelClassifier:
+    """Unfitted model from feature columns to ``prediction`` and ``probability``; its ``fit`` gives a pipeline model.
 
     The row count of ``train`` sets the penalty that equals a unit penalty on the summed loss.
     """
     if model_type not in MODEL_TYPES:
-        raise ValueError(f"Unknown model type: {model_type}. Available: {MODEL_TYPES}")
+        raise ValueError(f"{model_type} is none of the model types {MODEL_TYPES}")
     assemble = VectorAssembler(inputCols=list(inputs), outputCol=_INPUT)
     if model_type == "random_forest":
         settings = {"numTrees": TREES, "maxDepth": DEPTH, "seed": SEED, **params}
@@ -46,55 +52,151 @@ def classifier(model_type: str, train: DataFrame, inputs: Sequence[str] = FEATUR
         # The intercept is not penalised, so centring keeps the optimum and spares the solver most iterations.
         centre = StandardScaler(inputCol=_INPUT, outputCol=_CENTRED, withMean=True, withStd=False)
         return Pipeline(stages=[assemble, centre, LogisticRegression(featuresCol=_CENTRED, **settings)])
-    return Pipeline(stages=_margin_stages(train, inputs, **params))
+    return KernelClassifier(inputs, **params)
 
 
 def _rows(train: DataFrame) -> int:
     rows = train.count()
     if rows == 0:
-        raise ValueError("No valid data found")
+        raise ValueError("No rows to fit on")
     return rows
 
 
-def _margin_stages(train: DataFrame, inputs: Sequence[str], kernel_features: int = KERNEL_FEATURES, **params) -> list:
-    """Radial kernel by random Fourier features, a linear margin on them, and a logistic fit for probabilities.
+class KernelClassifier:
+    """Radial-kernel margin classifier by a landmark map, with calibrated probabilities.
 
-    The kernel width is 1 / (inputs * variance of all input values), from one aggregate.
+    The kernel matrix is replaced by its projection on ``landmarks`` points (a parameter; the centres of a k-means over at most ``LANDMARK_ROWS`` rows):
+    a row's values at the landmarks, whitened by the eigenvectors of the landmarks' own small kernel matrix, are the inputs of a linear margin. The kernel
+    width is 1 / (inputs * variance of all input values). Probabilities are a logistic fit on margins of rows that the margin's solver
+    did not see, fold by fold; folds go by a hash of the inputs, so equal rows share one.
     """
-    moments = train.agg(
-        F.count("*").alias("rows"),
-        *[F.avg(c).alias(f"mean_{c}") for c in inputs],
-        *[F.avg(F.col(c) * F.col(c)).alias(f"square_{c}") for c in inputs],
-    ).first()
-    if moments["rows"] == 0:
-        raise ValueError("No valid data found")
-    means = [moments[f"mean_{c}"] for c in inputs]
-    spread = np.mean([moments[f"square_{c}"] for c in inputs]) - np.mean(means) ** 2
-    gamma = 1.0 / (len(inputs) * spread) if spread > 0 else 1.0
-    rng = np.random.default_rng(SEED)
-    weights = rng.normal(0.0, np.sqrt(2.0 * gamma), (kernel_features, len(inputs)))
-    shifts = rng.uniform(0.0, 2.0 * np.pi, kernel_features)
-    lifted = [f"_k{i}" for i in range(kernel_features)]
-    cosines = [
-        f"cos({' + '.join(f'{w:.17e}D * ({c} - {m:.17e}D)' for w, c, m in zip(row, inputs, means))} + {shift:.17e}D)"
-        f" * {np.sqrt(2.0 / kernel_features):.17e}D AS {name}"
-        for name, row, shift in zip(lifted, weights, shifts)
-    ]
-    lift = SQLTransformer(statement=f"SELECT *, {', '.join(cosines)} FROM __THIS__")
-    assemble = VectorAssembler(inputCols=lifted, outputCol=_INPUT)
-    settings = {"maxIter": MARGIN_ITERATIONS, "regParam": 1.0 / moments["rows"], **params}
-    margin = LinearSVC(featuresCol=_INPUT, rawPredictionCol="_margin", predictionCol="_side", **settings)
-    calibrate = LogisticRegression(featuresCol="_margin", maxIter=ITERATIONS)
-    return [lift, assemble, margin, calibrate]
-
-
-def sequence_classifier(length: int, hidden: Sequence[int] = (HIDDEN,), epochs: int = 50) -> MultilayerPerceptronClassifier:
-    """Two-class network on a vector column ``features`` of fixed-length sequences."""
+
+    def __init__(self, inputs: Sequence[str] = FEATURES, landmarks: int = LANDMARKS, folds: int = FOLDS, **params) -> None:
+        self.inputs, self.landmarks, self.folds, self.params = list(inputs), landmarks, folds, params
+
+    def _width(self, train: DataFrame) -> tuple[int, float]:
+        moments = train.agg(
+            F.count("*").alias("rows"),
+            *[F.avg(c).alias(f"mean_{c}") for c in self.inputs],
+            *[F.avg(F.col(c) * F.col(c)).alias(f"square_{c}") for c in self.inputs],
+        ).first()
+        if moments["rows"] == 0:
+            raise ValueError("No rows to fit on")
+        means = [moments[f"mean_{c}"] for c in self.inputs]
+        spread = np.mean([moments[f"square_{c}"] for c in self.inputs]) - np.mean(means) ** 2
+        return moments["rows"], 1.0 / (len(self.inputs) * spread) if spread > 0 else 1.0
+
+    def _centres(self, train: DataFrame, rows: int) -> np.ndarray:
+        """Landmarks: k-means centres of the rows whose hash falls under the share that makes about ``LANDMARK_ROWS``, in one order."""
+        place = F.pmod(F.xxhash64(*self.inputs), F.lit(1 << 20)) / float(1 << 20)
+        some = VectorAssembler(inputCols=self.inputs, outputCol=_INPUT).transform(train.where(place <= min(1.0, LANDMARK_ROWS / rows)))
+        means = KMeans(featuresCol=_INPUT, k=max(2, self.landmarks), seed=SEED, maxIter=10).fit(some.select(_INPUT)).clusterCenters()
+        return np.unique(np.array(means), axis=0)
+
+    def fit(self, train: DataFrame) -> PipelineModel:
+        """``train`` has the inputs and a 0/1 double ``label``; it is read several times: pass a stored table."""
+        rows, gamma = self._width(train)
+        centres = self._centres(train, rows)
+        apart = ((centres[:, None] - centres[None]) ** 2).sum(axis=2)
+        values, vectors = np.linalg.eigh(np.exp(-gamma * apart))
+        held = values > LEAST_EIGENVALUE * values.max()
+        whitening = vectors[:, held] / np.sqrt(values[held])
+        fold = F.pmod(F.xxhash64(*self.inputs), F.lit(self.folds)).cast("int")
+        lifted = written(
+            train.select(*[F.col(c).cast("double").alias(c) for c in self.inputs], "label", fold.alias("fold"))
+            .mapInArrow(_lifted(self.inputs, centres, gamma, whitening), "lifted array<double>, label double, fold int"),
+            "kernel",
+        ).withColumn(_INPUT, array_to_vector("lifted"))
+        seen = {(r["fold"], r["label"]): r["count"] for r in lifted.groupBy("fold", "label").count().collect()}
+        if len({label for _, label in seen}) < 2:
+            weights, shift, margins = np.zeros(len(centres)), 0.0, lifted.select(F.lit(0.0).alias("_margin"), "label")
+        else:
+            settings = {"maxIter": MARGIN_ITERATIONS, **self.params}
+
+            def margin(part: DataFrame, n: int):
+                return LinearSVC(featuresCol=_INPUT, regParam=settings.pop("regParam", 1.0 / n), **settings).fit(part)
+
+            whole = margin(lifted, rows)
+            weights, shift = whitening @ whole.coefficients.toArray(), whole.intercept
+            margins = None
+            for k in sorted({k for k, _ in seen}):
+                others = {label: sum(n for (f, c), n in seen.items() if f != k and c == label) for label in (0.0, 1.0)}
+                # A fold that holds a whole class cannot be left out; its rows are judged by the margin of all rows.
+                model = margin(lifted.where(F.col("fold") != k), sum(others.values())) if all(others.values()) else whole
+                one = lifted.where(F.col("fold") == k).select(
+                    _dot(model.coefficients.toArray(), model.intercept).alias("_margin"), "label"
+                )
+                margins = one if margins is None else margins.union(one)
+        judge = VectorAssembler(inputCols=["_margin"], outputCol="_margins")
+        calibrated = LogisticRegression(featuresCol="_margins", maxIter=ITERATIONS).fit(judge.transform(margins))
+        near = [
+            f"{w:.17e}D * exp({-gamma:.17e}D * ({' + '.join(f'({c} - {x:.17e}D) * ({c} - {x:.17e}D)' for c, x in zip(self.inputs, centre))}))"
+            for w, centre in zip(weights, centres)
+        ]
+        lift = SQLTransformer(statement=f"SELECT *, {shift:.17e}D + {' + '.join(near)} AS _margin FROM __THIS__")
+        return PipelineModel(stages=[lift, judge, calibrated])
+
+
+def _dot(weights: np.ndarray, shift: float):
+    """Inner product of the ``lifted`` array with ``weights``, plus ``shift``."""
+    total = F.lit(float(shift))
+    for k, w in enumerate(weights):
+        total = total + F.col("lifted")[k] * F.lit(float(w))
+    return total
+
+
+def _lifted(inputs: Sequence[str], centres: np.ndarray, gamma: float, whitening: np.ndarray):
+    """Task code: the whitened kernel values of each row at the landmarks."""
+    names = list(inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([np.asarray(batch.column(c), dtype=np.float64) for c in names], axis=1)
+            apart = (x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None] - 2.0 * x @ centres.T
+            values = np.exp(-gamma * np.maximum(apart, 0.0)) @ whitening
+            offsets = np.arange(len(x) + 1, dtype=np.int32) * values.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([lists, batch.column("label"), batch.column("fold")], names=["lifted", "label", "fold"])
+
+    return run
+
+
+def sequence_classifier(length: int, hidden: Sequence[int] = (HIDDEN,), epochs: int = EPOCHS) -> MultilayerPerceptronClassifier:
+    """Two-class network on a vector column ``features`` of fixed-length sequences; ``epochs`` is the solver's iteration limit."""
     return MultilayerPerceptronClassifier(
         featuresCol=_INPUT, layers=[length, *hidden, 2], maxIter=epochs, blockSize=32, seed=SEED
     )
 
 
+def fit_with_patience(
+    network: MultilayerPerceptronClassifier, train: DataFrame, validation: DataFrame, epochs: int = EPOCHS,
+    patience: int = PATIENCE, iterations: int = EPOCH_ITERATIONS,
+) -> tuple[MultilayerPerceptronClassificationModel, list[dict]]:
+    """The network as it was after the epoch with the least validation loss, and the epochs' losses.
+
+    Each epoch goes on from the weights of the one before it for ``iterations`` of the solver. Fitting ends after ``patience`` epochs without a
+    smaller loss, or after ``epochs``. Both tables have ``features`` and ``label`` and are read in every epoch: pass stored ones. Without
+    validation rows there is nothing to compare, and the last epoch is returned.
+    """
+    model, best, least, waited, history = None, None, float("inf"), 0, []
+    for epoch in range(1, epochs + 1):
+        step = network.copy({network.maxIter: iterations})
+        if model is not None:
+            step.setInitialWeights(model.weights)
+        model = step.fit(train)
+        judged = log_loss(predict(model, validation.select("features", "label"))).first()
+        history.append({"epoch": epoch, "loss": judged["loss"], "accuracy_percent": judged["accuracy_percent"]})
+        if judged["loss"] is None:
+            best = model
+        elif judged["loss"] < least:
+            best, least, waited = model, judged["loss"], 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    return best, history
+
+
 def with_vector(df: DataFrame, column: str = "sequence") -> DataFrame:
     return df.withColumn(_INPUT, array_to_vector(F.col(column)))
 
@@ -102,7 +204,7 @@ def with_vector(df: DataFrame, column: str = "sequence") -> DataFrame:
 def predict(model, df: DataFrame) -> DataFrame:
     """Adds ``prediction`` (int) and ``score``, the probability of class 1."""
     if not hasattr(model, "transform"):
-        raise ValueError("Model must be fitted before making predictions")
+        raise ValueError("Only a fitted model predicts")
     keep = [c for c in df.columns if c not in ("features", "rawPrediction", "probability", "prediction", "score")]
     given = [*keep, "features"] if "features" in df.columns and not isinstance(model, PipelineModel) else keep
     return model.transform(df.select(*given)).select(
@@ -118,7 +220,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def fit_models(train: DataFrame, types: Sequence[str] = MODEL_TYPES, label: str = "label") -> dict:
+def fit_models(train: DataFrame, types: Sequence[str] = MODEL_TYPES, label: str = "label") -> dict[str, PipelineModel]:
     """Fitted pipelines by type. ``train`` is read many times by the solvers: pass a stored table."""
     labelled = train.withColumn("label", F.col(label).cast("double"))
     return {t: classifier(t, labelled).fit(labelled) for t in types}
@@ -154,7 +256,7 @@ def model_metrics(scored: DataFrame) -> dict[str, DataFrame]:
 
 def save_model(model, path: str) -> None:
     if not hasattr(model, "transform"):
-        raise ValueError("Model must be fitted before saving")
+        raise ValueError("Only a fitted model can be saved")
     model.write().overwrite().save(path)
 
 

@@ -12,6 +12,7 @@ from thermocline.operators.features import observation_features
 from thermocline.operators.filters import drop_empty_series, valid_rows
 from thermocline.operators.models import (
     MODEL_TYPES,
+    fit_with_patience,
     model_metrics,
     predict,
     sequence_classifier,
@@ -49,8 +50,8 @@ def train_sequence_model(
     val: float = 0.2, seed: int = 42, label: str = "bleach_presence",
     axes: DataFrame | None = None, years_of_tile: DataFrame | None = None,
 ):
-    """Network on fixed-length series. Returns the model, scored test rows, and loss and accuracy on
-    the validation and test splits."""
+    """Network on fixed-length series, fitted until its validation loss no longer falls. Returns the model of the least one, scored
+    test rows, and loss and accuracy on the validation and test splits."""
     series = store.compute(
         valid_rows(obs),
         lambda new: drop_empty_series(
@@ -60,7 +61,9 @@ def train_sequence_model(
     length = days_before + 1
     rows = with_vector(to_sequence(series, length)).withColumn("label", F.col(label).cast("double"))
     parts = written(stratified_split(rows, label, test, val, seed), "split")
-    model = sequence_classifier(length).fit(parts.where(F.col("split") == "train").select("features", "label"))
+    model, _ = fit_with_patience(
+        sequence_classifier(length), parts.where(F.col("split") == "train").select("features", "label"), parts.where(F.col("split") == "val")
+    )
     judged = predict(model, parts.where(F.col("split") != "train")).withColumn("label", F.col(label).cast("int"))
     return model, judged.where(F.col("split") == "test"), log_loss(judged, ["split"])
 
