@@ -328,6 +328,17 @@ def within_degrees(spark, sf):
     return near.select("obs_id", "polygon_id")
 
 
+@query(
+    "d10_repeated_points",
+    f"""WITH near_held AS ({_NEAR.format(metres="7000.0::DOUBLE")}), twice AS (SELECT longitude, latitude, obs_id FROM points
+      UNION ALL SELECT longitude, latitude, obs_id FROM points)
+    SELECT round(t.longitude, 9) AS longitude, round(t.latitude, 9) AS latitude, polygon_id FROM twice t JOIN near_held USING (obs_id)""",
+    ["points", "edges", "held"],
+)
+def within_repeated(spark, sf):
+    return _at(polygons.points_within(_twice(spark, sf), v.polygon_vertices(spark, sf), 7000.0, "meters"), "polygon_id")
+
+
 @query(
     "c09_exclude_regions",
     """SELECT region, seq FROM (SELECT nullif(region, 'hi') AS region, seq FROM regions)

@@ -138,7 +138,7 @@ def test_many_edges_against_brute_force(spark):
         (i, p) for i, (y, x) in enumerate(pairs) for p, ring in rings.items() if _inside(x, y, ring) or _gap(x, y, ring) <= reach
     }
     assert len(near) > len(got)
-    with pytest.raises(ValueError, match="Invalid distance unit"):
+    with pytest.raises(ValueError, match="Unknown unit"):
         polygons.points_within(points, vertices, 1.0, "feet")
 
 
