@@ -10,6 +10,7 @@ from thermocline.operators import climatology as clim
 from thermocline.operators import heat, series
 from thermocline.operators.filters import time_slice
 from thermocline.operators.ordered import with_lead_in, with_position
+from thermocline.sources import tables
 
 DAY0 = dt.datetime(2000, 1, 1)
 
@@ -72,15 +73,45 @@ def test_dhw_frames_agree_on_dense_days_and_are_not_negative(spark):
     assert days.exceptAll(rows).count() == 0 and days.where("d < 0").count() == 0
 
 
-def test_dhw_shuffles_a_big_field_join_and_window_once(spark):
-    """Without broadcasts, the grid is exchanged once on (cell, shard) for both the join and the window."""
+@pytest.mark.parametrize("shards", [1, 4])
+def test_dhw_shuffles_a_big_field_join_and_window_once(spark, shards):
+    """Without broadcasts, the grid is exchanged once on the cell for both the join and the window; the field has copies only if asked for."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        grid = spark.range(100).select(F.lit(1).alias("cell"), F.current_date().cast("timestamp_ntz").alias("time"), F.lit(1.0).alias("sst"))
-        plan = heat.dhw(grid, _field(spark, (1, 28.0)), keys=("cell",))._jdf.queryExecution().executedPlan().toString()
+        grid = spark.range(100).select((F.col("id") % 3).cast("int").alias("cell"), F.current_date().cast("timestamp_ntz").alias("time"), F.lit(1.0).alias("sst"))
+        plan = heat.dhw(grid, _field(spark, (1, 28.0)), keys=("cell",), shards=shards)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2 and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert ("explode" in plan.split("SortMergeJoin")[1] and "_shard" in plan) == (shards > 1)
+
+
+def test_tables_stored_by_cell_meet_without_an_exchange(spark, tmp_path):
+    rng = random.Random(4)
+    rows = _grid(spark, [(c, d, rng.uniform(26, 31)) for c in range(6) for d in range(300)])
+    fields = _field(spark, *[(c, 28.0 + c / 10) for c in range(6)])
+    want = heat.dhw(rows, fields, keys=("cell",))
+    places = {name: f"{tmp_path}/{name}" for name in ("cell_grid", "cell_field")}
+    grid = tables.write_by_cell(rows, "cell_grid", places["cell_grid"], ["cell"], 4, ["cell", "time"])
+    field = tables.write_by_cell(fields, "cell_field", places["cell_field"], ["cell"], 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for again in (False, True):
+            if again:  # as another session finds them
+                schemas = [t.schema.simpleString()[7:-1].replace(":", " ") for t in (grid, field)]
+                for name in places:
+                    spark.sql(f"DROP TABLE {name}")
+                grid = tables.read_by_cell(spark, "cell_grid", places["cell_grid"], schemas[0], ["cell"], 4, ["cell", "time"])
+                field = tables.read_by_cell(spark, "cell_field", places["cell_field"], schemas[1], ["cell"], 4)
+            for frame in (heat.dhw(grid, field, keys=("cell",)), heat.hotspot(grid, field, ("cell",))):
+                plan = frame._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange" not in plan and "SortMergeJoin" in plan
+            got = heat.dhw(grid, field, keys=("cell",)).select(*want.columns)
+            assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in places:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def test_month_of_mmm_tie_and_missing(spark):

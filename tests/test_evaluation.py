@@ -7,7 +7,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from thermocline.operators import evaluation as ev
-from thermocline.operators import features, models, split
+from thermocline.operators import features, models, ordered, split
 from thermocline.operators.ordered import running_totals
 from thermocline.sources import store, tables
 
@@ -139,7 +139,7 @@ def test_models_learn_and_reload(spark, tmp_path):
     for call in (models.predict, models.save_model):
         with pytest.raises(ValueError, match="fitted"):
             call(models.classifier("logistic", table), table)
-    with pytest.raises(ValueError, match="Unknown model type"):
+    with pytest.raises(ValueError, match="none of the model types"):
         models.train_models(table, ("boosting",))
 
 
@@ -187,3 +187,40 @@ def test_grid_tables(spark, tmp_path):
     tables.write_missing_years(grid, str(tmp_path / "y"))
     tables.write_missing_years(grid, str(tmp_path / "y"))
     assert tables.read_grid(spark, str(tmp_path / "y")).count() == 800
+
+
+def test_slabs_are_even_in_every_group(spark):
+    rng = random.Random(2)
+    rows = [("narrow", 0.5 + 0.06 * rng.random()) for _ in range(4000)] + [("wide", rng.random()) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "model string, score double").groupBy("model", "score").agg(F.count("*").alias("n"))
+    seen = {}
+    plain = ordered.count_at_most
+
+    def watched(limits, value):
+        seen["slab"] = plain(limits, value)
+        return seen["slab"]
+
+    ordered.count_at_most = watched
+    try:
+        totals = ordered.running_totals(df, "score", ["n"], ["model"], slabs=16)
+    finally:
+        ordered.count_at_most = plain
+    limits = df.groupBy("model").agg(F.percentile_approx("score", F.array(*[F.lit(i / 16) for i in range(1, 16)]), 160).alias("_limits"))
+    sizes = df.join(limits, "model").groupBy("model", seen["slab"].alias("slab")).count().collect()
+    for model in ("narrow", "wide"):
+        mine = [r["count"] for r in sizes if r["model"] == model]
+        assert len(mine) == 16 and max(mine) < 2 * 4000 / 16
+    want = {m: sorted((s for x, s in rows if x == m), reverse=True) for m in ("narrow", "wide")}
+    for r in totals.collect():
+        assert r["total_n"] == 4000 and want[r["model"]][r["before_n"]] == r["score"]
+
+
+def test_sample_is_the_least_hashes_without_a_limit_in_one_task(spark):
+    df = spark.range(5000).withColumnRenamed("id", "obs_id").withColumn("v", F.rand(1)).cache()
+    for n in (0, 1, 37, 4999, 5000, 9000):
+        found = split.sample_rows(df, n, seed=7)
+        want = df.orderBy(split.shuffle_hash("obs_id", 7)).limit(n)
+        assert found.columns == df.columns and found.count() == min(n, 5000) and found.exceptAll(want).count() == 0
+    plan = split.sample_rows(df, 1_000_000)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan
+    assert split.sample_rows(df.limit(0), 5).count() == 0

@@ -68,13 +68,15 @@ def running_totals(
 
     Adds ``before_<c>`` and ``total_<c>``. ``order`` must be unique in its group (aggregate first);
     group columns must not be NULL.
-    Slab limits are quantiles of ``order``, read once as a scalar subquery, so slabs stay even.
+    Slab limits are quantiles of each group's own ``order`` values, from a sketch that merges over tasks, so the slabs of every group are even
+    whatever its range; a group's limits are joined to its rows.
     """
     shares = F.array(*[F.lit(i / slabs) for i in range(1, slabs)])
-    limits = df.agg(F.percentile_approx(order, shares, 10000)).scalar()
-    cut = df.withColumn("_limits", limits).withColumn(
-        "_slab", count_at_most(F.col("_limits"), F.col(order))
-    ).drop("_limits")
+    keys = list(by) or ["_all"]
+    grouped = df if by else df.withColumn("_all", F.lit(0))
+    limits = grouped.groupBy(*keys).agg(F.percentile_approx(order, shares, 10 * slabs).alias("_limits"))
+    cut = grouped.join(limits, keys).withColumn("_slab", count_at_most(F.col("_limits"), F.col(order))).drop("_limits")
+    cut = cut if by else cut.drop("_all")
     group = [*by, "_slab"]
     whole = Window.partitionBy(*by)
     higher = whole.orderBy(F.desc("_slab")).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermocline.operators.ordered import position_in_slabs
@@ -33,7 +33,32 @@ def sample_rows(
         total = F.nullif(df.agg(F.count("*")).scalar(), F.lit(0))
         draws = df.sparkSession.range(n).select((1 + F.pmod(drawn, total)).alias("_drawn"))
         return draws.join(ranked, F.col("_drawn") == F.col("_rank")).select(*df.columns)
-    return df.withColumn("_hash", shuffle_hash(key, seed)).orderBy("_hash").limit(n).drop("_hash")
+    return _least_hashes(df.withColumn("_hash", shuffle_hash(key, seed)), n).drop("_hash")
+
+
+def _least_hashes(hashed: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of least ``_hash``; ties at the cut are settled by the row's other columns.
+
+    A histogram of hash slabs gives the slab in which the n-th row falls. Rows of the slabs before it are taken as they are, by a filter, and only
+    that one slab is ranked, so no task sees more rows than a slab has, however large ``n`` is.
+    """
+    slabbed = hashed.withColumn("_slab", _slab())
+    counts = slabbed.groupBy("_slab").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # At most one row per slab passes this window, and one row leaves it: the slab with the n-th row, if there are so many.
+    cut = counts.withColumn("_before", before).where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
+    edge = cut.agg(F.max("_slab").alias("slab"), F.max("_before").alias("before"))
+    slab = F.coalesce(edge.select("slab").scalar(), F.lit(1 << 62))
+    whole = slabbed.where(F.col("_slab") < slab)
+    sortable = [c for c in hashed.columns if c != "_hash" and "map<" not in hashed.schema[c].dataType.simpleString()]
+    order = Window.partitionBy("_slab").orderBy("_hash", *[F.col(f"`{c}`") for c in sortable])
+    part = slabbed.where(F.col("_slab") == slab).withColumn("_rank", F.row_number().over(order))
+    kept = part.where(F.col("_rank") <= n - edge.select("before").scalar()).drop("_rank")
+    return whole.union(kept).drop("_slab") if n > 0 else hashed.limit(0)
+
+
+def _slab():
+    return F.conv(F.substring("_hash", 1, SLAB_DIGITS), 16, 10).cast("long")
 
 
 def stratified_split(
