@@ -88,3 +88,20 @@ def test_copies_do_not_fill_the_training_samples(spark, monkeypatch):
     monkeypatch.setattr(language.ByteTagger, "train", lambda self, ids, targets: seen.append(np.bincount(targets).tolist()))
     assert language.train_tagger(docs, sample=20).labels == ["xx", "yy"]
     assert seen[1][0] >= 10 and seen[1][1] >= 1
+
+
+def test_numbers_are_no_letters(spark):
+    docs = frame(spark, [(k, f"abc text number {k}") for k in range(30)])
+    tagger = language.train_tagger(docs, sample=20)
+    asked = frame(spark, [(0, "½ ¾"), (1, "①②③"), (2, "12 _ 3"), (3, "½a"), (4, "中"), (5, "ʰ")])
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict_language(asked, tagger).collect()}
+    assert found == {0: "und", 1: "und", 2: "und", 3: "en", 4: "en", 5: "en"}
+
+
+def test_samples_are_the_least_hashes(spark, monkeypatch):
+    docs = frame(spark, [(k, f"text number {k} of many") for k in range(400)])
+    seen = []
+    monkeypatch.setattr(language.ByteTagger, "train", lambda self, ids, targets: seen.append({bytes(r[r < 256].astype("u1").tolist()) for r in ids}))
+    language.train_tagger(docs, sample=7)
+    least = [r["text"].encode() for r in docs.orderBy(F.xxhash64("text")).limit(7).collect()]
+    assert len(seen[0]) == 7 and all(any(t.startswith(s) or s in t for t in least) for s in seen[0])

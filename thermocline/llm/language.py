@@ -16,6 +16,7 @@ HIDDEN = 8
 WINDOW = 64  # bytes that the network reads at a time; windows cover each whole text
 TOGETHER = 2048  # windows that step together
 SAMPLE = 3000  # training texts, shared out evenly among the languages
+MARGIN = 4  # shares of a language that pass the cut before they are ranked
 CUTS, CUT_CHARS = 4, 64  # stretches of each training document, at hashed places
 STEPS, BATCH, RATE = 260, 256, 0.02
 UNKNOWN = "und"
@@ -107,11 +108,15 @@ def train_tagger(docs: DataFrame, sample: int = SAMPLE) -> ByteTagger | None:
     cuts = F.array(*[F.substr("text", p + 1, F.lit(CUT_CHARS)) for p in places])
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).withColumn("_h", F.xxhash64("text"))
     least = stored(rows.select("lang", "_h").distinct(), "language-texts")
-    langs = least.select("lang").distinct().count()
-    share = -(-sample // max(1, langs))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))  # cut inside each task first
-    hashes = least.withColumn("_nth", order).where(F.col("_nth") <= share).select("lang", "_h")
-    found = rows.join(hashes, ["lang", "_h"], "left_semi").dropDuplicates(["lang", "_h"]).select("lang", cuts.alias("cuts"))
+    counts = stored(least.groupBy("lang").agg(F.count("*").alias("_n")), "language-counts")
+    share = -(-sample // max(1, counts.count()))
+    # Hashes are even, so a cut that passes about four shares of a language holds its least ones; few rows are left to rank.
+    cut = F.when(F.col("_n") > MARGIN * share, MARGIN * share / F.col("_n")).otherwise(1.0)
+    under = least.join(counts, "lang").where(F.col("_h").cast("double") / 2.0**64 + 0.5 <= cut)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    hashes = stored(under.withColumn("_nth", order).where(F.col("_nth") <= share).select("lang", "_h"), "language-sample")
+    # Only languages and hashes were shuffled; the sample's texts are fetched by them, a bounded table.
+    found = rows.select("lang", "_h", "text").join(F.broadcast(hashes), ["lang", "_h"]).dropDuplicates(["lang", "_h"]).select("lang", cuts.alias("cuts"))
     rows = found.collect()  # bounded by the sample, or one row a language
     pairs = sorted({(r["lang"], c.encode()[:WINDOW]) for r in rows for c in r["cuts"]})
     if not pairs:
@@ -127,14 +132,11 @@ def train_tagger(docs: DataFrame, sample: int = SAMPLE) -> ByteTagger | None:
 
 def _tagged(tagger: ByteTagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        letter = re.compile(r"[^\W\d_]")
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column("text").to_pylist()
-                some = [k for k, t in enumerate(texts) if t and letter.search(t)]
+                some = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]  # Unicode category L
                 found, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if some:
                     best, share = tagger.label([texts[k].encode() for k in some])

@@ -146,11 +146,13 @@ def train_scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed:
     highest windows, others by all, so the windows learn what the documents are marked for. Null labels are left out;
     without both labels there is no scorer.
     """
-    text = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    rows = text.join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id").withColumn("_h", F.xxhash64("text"))
-    least = stored(rows.select("toxic", "_h").distinct(), "toxicity-texts")
+    text = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).withColumn("_h", F.xxhash64("text"))
+    marked = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    # Only ids and hashes are joined and shuffled; then the few texts are fetched by their hashes, a bounded table.
+    least = stored(text.select("doc_id", "_h").join(marked, "doc_id").select("toxic", "_h").distinct(), "toxicity-texts")
     few = [least.where(F.col("toxic") == value).orderBy("_h").limit(sample) for value in (0, 1)]
-    found = rows.join(few[0].union(few[1]), ["toxic", "_h"], "left_semi").dropDuplicates(["toxic", "_h"])
+    wanted = stored(few[0].union(few[1]), "toxicity-sample")
+    found = text.select("_h", "text").join(F.broadcast(wanted), "_h").dropDuplicates(["toxic", "_h"])
     chosen = sorted(found.select("toxic", "_h", "text").collect())  # bounded by the sample
     target = np.array([r["toxic"] for r in chosen], dtype=np.float32)
     if len(set(target.tolist())) < 2:
