@@ -278,17 +278,29 @@ def _named(df: DataFrame, suffix: str, keep: tuple[str, ...] = ("at",)) -> DataF
     return df.select(*keep, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in keep])
 
 
-def _texts(nodes: DataFrame, classes: DataFrame, read: DataFrame) -> DataFrame:
-    """``node`` and ``text`` of the classes in ``nodes``; only these texts are moved."""
-    rows = classes.select("node", "row").join(nodes, "node", "left_semi")
-    return stored(read.select("row", "text").join(rows, "row").drop("row"), "path-texts")
+class _Texts:
+    """Texts of classes. Fetching some passes over all stored texts, so classes that are asked for again are not fetched again."""
 
+    def __init__(self, classes: DataFrame, read: DataFrame):
+        self.rows, self.read, self.held = classes.select("node", "row"), read.select("row", "text"), None
 
-def _links(pairs: DataFrame, classes: DataFrame, read: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` of classes whose full shingle sets have the similarity."""
-    wanted = stored(pairs.distinct(), "path-pairs")
-    held = _texts(wanted.select(F.col("a").alias("node")).union(wanted.select(F.col("b").alias("node"))).distinct(), classes, read)
-    both = wanted.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """``node`` and ``text`` of the classes in ``nodes``, and maybe of others; only texts that are not held yet are moved."""
+        missing = nodes if self.held is None else stored(nodes.join(self.held.select("node"), "node", "left_anti"), "path-missing")
+        if self.held is None or not missing.isEmpty():
+            found = stored(self.read.join(self.rows.join(missing, "node", "left_semi"), "row").drop("row"), "path-texts")
+            self.held = found if self.held is None else self.held.union(found)
+        return self.held
+
+
+def _ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _links(pairs: DataFrame, texts: _Texts, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` (each once) of classes whose full shingle sets have the similarity."""
+    held = texts.of(_ends_of(pairs))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
     )
     return stored(both.mapInArrow(_verified(width, similarity), "a long, b long"), "path-links")
@@ -305,8 +317,8 @@ def _sets(width: int):
     return run
 
 
-def _in_tasks(rows: DataFrame, classes: DataFrame, read: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links of the nodes of ``rows``, each compared inside a task: by sketches first, then those that may be similar by their full sets.
+def _cut(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of nodes as tasks compare them, and those of them that may be similar to one of another component, by sketch.
 
     Nodes that are not small are cut into pieces by a hash of the class, and a task compares two pieces. Where few classes stand outside the
     largest component, these few are compared with each piece of the others instead.
@@ -319,16 +331,21 @@ def _in_tasks(rows: DataFrame, classes: DataFrame, read: DataFrame, width: int,
     ).otherwise(F.transform(all_pieces, lambda k: F.struct(k.alias("i"), F.lit(0).alias("j"))))
     cut = rows.select("at", "node", "root", "n", "low", "high", F.inline(F.when(F.col("others") <= FEW, with_few).otherwise(in_pairs)))
     cut = stored(cut, "path-cut")
-    active = stored(cut.groupBy("at", "i", "j").applyInArrow(_active(similarity), ACTIVE), "path-active")
-    sets = stored(_texts(active.select("node").distinct(), classes, read).mapInArrow(_sets(width), "node long, shingles array<long>"), "path-sets")
-    held = cut.join(active, ["at", "i", "j", "node"], "left_semi").join(sets, "node")
-    return stored(held.groupBy("at", "i", "j").applyInArrow(_node_links(similarity), "a long, b long"), "path-links")
+    return cut, stored(cut.groupBy("at", "i", "j").applyInArrow(_active(similarity), ACTIVE), "path-active")
 
 
-def _compared(
-    rooted: DataFrame, classes: DataFrame, read: DataFrame, width: int, similarity: float, all_of_them: bool
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of the tiny nodes, links of the other small ones, and the rows of the large ones, of ``rooted`` (postings with the ``root`` known so far).
+def _in_tasks(rows: DataFrame, texts: _Texts, width: int, similarity: float) -> DataFrame:
+    """Links of the nodes of ``rows``, each compared inside a task: by sketches first, then those that may be similar by their full sets."""
+    cut, active = _cut(rows, similarity)
+    wanted = active.select("node").distinct()
+    held = texts.of(wanted).join(wanted, "node", "left_semi")
+    sets = stored(held.mapInArrow(_sets(width), "node long, shingles array<long>"), "path-sets")
+    compared = cut.join(active, ["at", "i", "j", "node"], "left_semi").join(sets, "node")
+    return stored(compared.groupBy("at", "i", "j").applyInArrow(_node_links(similarity), "a long, b long"), "path-links")
+
+
+def _by_size(rooted: DataFrame, similarity: float, all_of_them: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of the tiny nodes, rows of the other small ones, and of the large ones, of ``rooted`` (postings with the ``root`` known so far).
 
     A node whose classes have one root is done. A node is large, and branches, if it has too many classes or shingles and not just
     a few classes outside its largest component.
@@ -348,10 +365,9 @@ def _compared(
     pairs = (
         _named(tiny, "a").join(_named(tiny, "b"), "at")
         .where((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _alike("a", "b", similarity))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     )
-    links = _in_tasks(open_.where("kind = 'task'"), classes, read, width, similarity)
-    return pairs, links, open_.where("kind = 'large'").select("at", "node")
+    return stored(pairs, "path-pairs"), open_.where("kind = 'task'"), open_.where("kind = 'large'").select("at", "node")
 
 
 def _shared(posted: DataFrame, label: str) -> DataFrame:
@@ -365,7 +381,8 @@ def class_roots(classes: DataFrame, read: DataFrame, width: int, similarity: flo
     """``node`` and ``root`` of the classes that are linked to another one.
 
     First each class of a node is held against the node's least one; the components of these links close most nodes. Nodes that still hold different
-    components are compared exhaustively if small, else branch; each level is written to the shared folder.
+    components are compared exhaustively if small, else branch; each level is written to the shared folder. The texts of all classes that
+    the first level may have to confirm are fetched together.
     """
     sketches = classes.select("node", "n", "low", "high", "tokens")
     roots_of_trees = F.array(*[F.xxhash64(F.lit(f"tree {k}")) for k in range(_trees(similarity, recall))])
@@ -373,19 +390,24 @@ def class_roots(classes: DataFrame, read: DataFrame, width: int, similarity: flo
     posted = _shared(sketches.select(F.explode(roots_of_trees).alias("at"), "*").mapInArrow(branch, POSTED), "path-level")
     first = posted.groupBy("at").agg(F.min_by(F.struct("node", "n", "low", "high"), "node").alias("_f")).select("at", "_f.*")
     star = _named(posted, "a").join(_named(first, "b"), "at").where((F.col("node_a") > F.col("node_b")) & _alike("a", "b", similarity))
-    links = _links(star.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), classes, read, width, similarity)
+    star = stored(star.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "path-star")
+
+    tiny, small, _ = _by_size(posted.withColumn("root", F.col("node")), similarity, False)
+    texts = _Texts(classes, read)
+    texts.of(stored(_ends_of(star.union(tiny)).union(_cut(small, similarity)[1].select("node")).distinct(), "path-wanted"))
+    links = _links(star, texts, width, similarity)
     roots = stored(components(links, "path-stars"), "path-roots")
     pairs = None
     for level in range(MOST_LEVELS):
         rooted = posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found, confirmed, large = _compared(rooted, classes, read, width, similarity, level == MOST_LEVELS - 1)
-        found = stored(found.distinct(), "path-found")
+        found, small, large = _by_size(rooted, similarity, level == MOST_LEVELS - 1)
         pairs = found if pairs is None else pairs.union(found)
-        links = links.union(confirmed)
+        links = links.union(_in_tasks(small, texts, width, similarity))
         if large.isEmpty():
             break
         posted = _shared(large.join(sketches, "node").mapInArrow(branch, POSTED), "path-level")
-    return stored(components(links.union(_links(pairs, classes, read, width, similarity)), "path-components"), "path-roots")
+    links = links.union(_links(stored(pairs.distinct(), "path-pairs"), texts, width, similarity))
+    return stored(components(links, "path-components"), "path-roots")
 
 
 def similar_components(
