@@ -31,8 +31,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(rows, name).select(F.col(name).alias("place"), "component_id")
     ids = rows.select(F.col(name).alias("place"), F.col("doc_id").alias("id"))
     best = found.join(ids, "place").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first"))
-    kept = stored(best.select(F.col("first.place").alias(name)), "dedup-kept")
-    return rows.join(kept, name, "left_semi").select(*docs.columns)
+    # Few rows leave, so their places, and not all texts, are what a join has to move.
+    gone = stored(found.select("place").join(best.select("first.place"), "place", "left_anti").withColumnRenamed("place", name), "dedup-gone")
+    return rows.join(gone, name, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
