@@ -34,6 +34,7 @@ FEW = 64  # classes outside the largest component of a node that is compared wha
 STRIP = 256  # classes compared with all others of a node in a step of task code
 SPREAD = 5.0  # standard deviations of the number of differing sketch bits that a comparison allows
 TOGETHER = 256  # texts in a step of task code
+FILTER_BITS = 1 << 25  # of the table that leaves texts out before they are moved: 4 MB, whatever the number of texts
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -278,6 +279,23 @@ def _named(df: DataFrame, suffix: str, keep: tuple[str, ...] = ("at",)) -> DataF
     return df.select(*keep, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in keep])
 
 
+def _likely(read: DataFrame, rows: DataFrame) -> DataFrame:
+    """``read`` without most of the rows whose ``row`` is not in ``rows``, and with all that are.
+
+    A bit table of fixed size is broadcast: the bit of a hash of each wanted row is set. The more rows are wanted, the fewer others it
+    leaves out; the join that follows is exact.
+    """
+    slot = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    bits = rows.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")
+    )
+    table = F.broadcast(stored(bits, "path-filter"))
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)), 16, 10) as int)"
+    held = F.expr(f"({byte} >> cast(bitmap_bit_position(_slot) % 8 as int)) & 1") == 1
+    named = read.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
+    return named.join(table, "_bucket").where(held).drop("_slot", "_bucket", "_bits")
+
+
 class _Texts:
     """Texts of classes. Fetching some passes over all stored texts, so classes that are asked for again are not fetched again."""
 
@@ -288,7 +306,8 @@ class _Texts:
         """``node`` and ``text`` of the classes in ``nodes``, and maybe of others; only texts that are not held yet are moved."""
         missing = nodes if self.held is None else stored(nodes.join(self.held.select("node"), "node", "left_anti"), "path-missing")
         if self.held is None or not missing.isEmpty():
-            found = stored(self.read.join(self.rows.join(missing, "node", "left_semi"), "row").drop("row"), "path-texts")
+            rows = stored(self.rows.join(missing, "node", "left_semi"), "path-missing-rows")
+            found = stored(_likely(self.read, rows).join(rows, "row").drop("row"), "path-texts")
             self.held = found if self.held is None else self.held.union(found)
         return self.held
 

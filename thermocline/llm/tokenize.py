@@ -15,7 +15,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 # White space that is not a single space between two other characters.
 ODD_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]{2}|^[\s\x0B\x1C-\x1F\x{85}\p{Z}]|[\s\x0B\x1C-\x1F\x{85}\p{Z}]$|<\|"
 MARKS = ".,!?;:"
-MOST_KNOWN = 400_000
+MOST_KNOWN = 150_000
 
 
 def _byte_letters() -> dict[int, str]:
