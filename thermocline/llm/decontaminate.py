@@ -20,7 +20,7 @@ SHINGLE = 5
 OVERLAP = 0.8  # share of the question's and of the answer's shingles
 CHUNK = 512  # passages scored together
 INDEX_BYTES = 16 << 20  # item texts in one index; more items are queried in as many passes
-FOUND = "row long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+FOUND = "row {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
 def _split(texts: pa.Array) -> pa.Array:
@@ -114,7 +114,7 @@ class Index:
         return tuple(sum(s in have[len(s)] for s in part) / len(part) if part else 0.0 for part in self.shingles[item])
 
 
-def _queried(index: Index):
+def _queried(index: Index, key: pa.DataType):
     """Task code: all passages of each text against the index; verified pairs, the best one for each text and item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -155,7 +155,7 @@ def _queried(index: Index):
                 keys = batch.column("row").to_pylist()
                 found = [(keys[d], index.ids[item], s, q, a, -spot) for (d, item), (s, q, a, spot) in sorted(best.items())]
                 columns = list(zip(*found)) if found else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                kinds = [key, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 names = ["row", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=names)
 
@@ -191,15 +191,18 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> Data
     Passages of 64 words, each half overlapping the next, cover every whole text. A passage retrieves an item if its BM25 score is at least
     half of the best that a passage could reach, for an item of over 64 words that of one of its overlapping pieces; the pair stays if at least 0.8 of the five-word shingles of the item's question
     and of its answer stand around the passage. Null and empty texts and items match nothing; repeated rows are found
-    repeatedly; an empty table gives no rows; other columns are ignored.
+    repeatedly; an empty table gives no rows; other columns are ignored. ``key`` is a whole number or a string.
 
     The test items are the query set: their index (``INDEX_BYTES`` of text at most) goes to the tasks, larger benchmarks in several passes.
     """
-    rows = docs.select(F.col(key).cast("long").alias("row"), "text")
+    text_key = docs.schema[key].dataType.simpleString() == "string"
+    kind, held = ("string", pa.string()) if text_key else ("long", pa.int64())
+    found_schema = FOUND.format(kind=kind)
+    rows = docs.select(F.col(key).cast(kind).alias("row"), "text")
     out = None
     for index in _indexes(items):
-        found = rows.mapInArrow(_queried(index), FOUND)
+        found = rows.mapInArrow(_queried(index, held), found_schema)
         out = found if out is None else out.union(found)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], FOUND)
+        out = docs.sparkSession.createDataFrame([], found_schema)
     return out.withColumnRenamed("row", key)
