@@ -12,12 +12,11 @@ from thermocline.llm import decontaminate, mixing, quality, simhash, token_files
 from thermocline.llm.common import stored
 
 
-def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The rows with a number of their own, written once so that it stays theirs, and the name of its column, which none of theirs has."""
-    name = "row"
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
     while name in {c.lower() for c in docs.columns}:
         name += "_"
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+    return name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of fingerprints linked at two or fewer bits: the one with the smallest id, null last, then the first in the table."""
-    rows, name = _numbered(docs, "dedup-rows")
+    name = _unused(docs, "place")
+    rows = stored(docs.withColumn(name, F.monotonically_increasing_id()), "dedup-rows")  # written, so that a row keeps its number
     found = simhash.near_duplicates(rows, name).select(F.col(name).alias("place"), "component_id")
     ids = rows.select(F.col(name).alias("place"), F.col("doc_id").alias("id"))
     best = found.join(ids, "place").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("first"))
@@ -37,9 +37,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Leaks are named by their row, so rows without an id, or with that of another one, are told apart."""
+    """Documents that hold no benchmark item. Whether a row does hangs on its text alone, so leaks are named by 128 bits of the text, and rows
+    without an id, or with that of another one, are told apart."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows, name = _numbered(docs, "leak-rows")
+    name = _unused(docs, "digest")
+    rows = docs.withColumn(name, F.md5(F.col("text").cast("binary")))
     leaks = stored(decontaminate.contaminated(rows, items, name).select(name).distinct(), "leaks")
     return rows.join(leaks, name, "left_anti").select(*docs.columns)
 
