@@ -162,6 +162,19 @@ def feature_store(spark, sf):
     return rounded(kept.matrix(obs.where("year <> 1997")).select("obs_id", "bleach_presence", "mean", "max"), 8)
 
 
+@query(
+    "a14_failed_ids",
+    "SELECT obs_id FROM dated WHERE obs_id NOT IN (SELECT obs_id FROM series)",
+    ["series", "dated"],
+)
+def failed_ids(spark, sf):
+    obs, grid = _labelled(spark, sf), v.grid_daily(spark, sf).select(*_GRID)
+    kept = store.FeatureStore(spark, shared_folder(spark, "features"), "window-31")
+    stored_features(obs.where("year < 1999"), grid, kept, 31)
+    stored_features(obs, grid, kept, 31)
+    return kept.failed()
+
+
 @query(
     "a14_feature_store_forced",
     _STORED.format(where="WHERE year >= 1999"),
@@ -177,7 +190,8 @@ def feature_store_forced(spark, sf):
 
 @query(
     "a15_series_store",
-    "SELECT obs_id, count(*) AS n, min(time) AS first, max(time) AS last FROM series GROUP BY obs_id",
+    """SELECT obs_id, count(*) AS n, min(time) AS first, max(time) AS last,
+    string_agg(coalesce(printf('%.6f', sst), '-'), ',' ORDER BY time) AS "values" FROM series GROUP BY obs_id""",
     ["series"],
 )
 def series_store(spark, sf):
@@ -192,6 +206,7 @@ def series_store(spark, sf):
     return rows.select(
         "obs_id", F.size("series").cast("bigint").alias("n"), F.get("series", 0)["time"].alias("first"),
         F.element_at("series", -1)["time"].alias("last"),
+        F.array_join(F.transform("series.sst", lambda x: F.coalesce(F.format_string("%.6f", x), F.lit("-"))), ",").alias("values"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from thermocline.operators import evaluation as ev
 from thermocline.operators import features, models, ordered, split
 from thermocline.operators.ordered import running_totals
-from thermocline.sources import store, tables
+from thermocline.sources import batches, store, tables
 
 
 @pytest.fixture(scope="module")
@@ -162,6 +162,76 @@ def test_store_computes_only_new_ids(spark, tmp_path):
     assert kept.read().count() == 0 and kept.read().columns == ["obs_id", "double"]
 
 
+def test_store_remembers_ids_without_a_row(spark, tmp_path):
+    seen = []
+
+    def odd_ones(new):
+        seen.append(new.count())
+        return new.where("obs_id % 2 = 1").select("obs_id")
+
+    kept = store.FeatureStore(spark, str(tmp_path), "key")
+    ids = spark.range(6).toDF("obs_id")
+    assert kept.compute(ids, odd_ones).count() == 3 and kept.failed().count() == 3
+    assert kept.compute(ids, odd_ones).count() == 3 and len(kept.batches.records()) == 1
+    rows = kept.compute(ids, lambda new: new.select("obs_id"), retry_failed=True)
+    assert seen == [6, 0] and rows.count() == 6 and kept.failed().count() == 0
+    kept.clear()
+    assert kept.missing(ids).count() == 6
+
+
+def test_two_runs_at_a_time_store_an_id_once(spark, tmp_path):
+    first, second = (store.FeatureStore(spark, str(tmp_path), "key") for _ in range(2))
+
+    def doubled(new):
+        return new.select("obs_id", F.lit("second").alias("by"))
+
+    def while_the_other_runs(new):
+        second.compute(spark.range(3, 8).toDF("obs_id"), doubled)
+        return new.select("obs_id", F.lit("first").alias("by"))
+
+    rows = first.compute(spark.range(6).toDF("obs_id"), while_the_other_runs)
+    assert rows.count() == 6 and rows.where("by = 'second'").count() == 3
+    assert first.read().count() == 8 and len(first.batches.records()) == 2
+
+
+def test_a_write_that_ends_half_way_is_not_seen(spark, tmp_path):
+    ids = spark.range(0, 100, 1, 4).toDF("obs_id")
+    breaks = ids.where(F.when(F.col("obs_id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.lit(True)).cast("boolean"))
+    kept = store.FeatureStore(spark, str(tmp_path / "s"), "key")
+    with pytest.raises(Exception, match="lost"):
+        kept.compute(ids, lambda new: breaks)
+    assert kept.read() is None and kept.missing(ids).count() == 100
+    assert kept.compute(ids, lambda new: new).count() == 100
+    path, year = str(tmp_path / "y"), (2000 + F.col("obs_id") % 3).cast("int").alias("year")
+    with pytest.raises(Exception, match="lost"):
+        tables.write_missing_years(breaks.select("obs_id", year), path)
+    tables.write_missing_years(ids.where("obs_id % 3 = 0").select("obs_id", year), path)
+    tables.write_missing_years(ids.select("obs_id", year), path)
+    found = tables.read_grid(spark, path)
+    assert found.count() == 100 and found.select("obs_id").distinct().count() == 100
+
+
+def test_two_writers_add_a_year_once(spark, tmp_path, monkeypatch):
+    path, plain = str(tmp_path), batches.BatchTable.stage
+    rows = spark.range(40).selectExpr("id", "if(id < 4, null, cast(2000 + id % 4 as int)) as year")
+
+    def overtaken(self, *args, **named):
+        monkeypatch.setattr(batches.BatchTable, "stage", plain)
+        tables.write_missing_years(rows.where("year > 2001 or year is null").withColumn("id", -F.col("id")), path)
+        return plain(self, *args, **named)
+
+    monkeypatch.setattr(batches.BatchTable, "stage", overtaken)
+    tables.write_missing_years(rows, path)
+    found = tables.read_grid(spark, path)
+    assert found.count() == 40 and found.where("id < 0 and year > 2001").count() == found.where("year > 2001").count() > 0
+    assert found.where("year is null").count() == 4
+    files = {r[0] for r in found.where("year = 2000").select(F.input_file_name()).collect()}
+    assert len(files) == 1
+    tables.write_grid(rows.withColumn("year", F.lit(1)), f"{path}/plain")
+    with pytest.raises(ValueError, match="without records"):
+        tables.write_missing_years(rows, f"{path}/plain")
+
+
 def test_store_key_ignores_order_and_sees_changes(spark):
     df = spark.createDataFrame([(1.0, 2.0, "2000-01-01", 1), (3.0, 4.0, "2000-01-02", 0)], "latitude double, longitude double, date string, bleach_presence int")
     key = store.store_key({"a": 1, "b": 2}, df).first()[0]

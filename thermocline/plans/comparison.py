@@ -28,15 +28,17 @@ from thermocline.sources.store import FeatureStore, SeriesStore, store_key
 
 def stored_features(
     obs: DataFrame, grid: DataFrame, store: FeatureStore, days_before: int = 365, force: bool = False,
-    axes: DataFrame | None = None, years_of_tile: DataFrame | None = None,
+    axes: DataFrame | None = None, years_of_tile: DataFrame | None = None, retry_failed: bool = False,
 ) -> DataFrame:
     """Features of valid observations through the store: only new ones are computed.
 
-    ``axes`` and ``years_of_tile`` as in ``series_for``. Ids without a row are tried again on the next call.
+    ``axes`` and ``years_of_tile`` as in ``series_for``. Ids that gave no row are tried again with ``retry_failed``, say after
+    the grid has grown.
     """
     return store.compute(
         valid_rows(obs),
-        lambda new: observation_features(new, grid, days_before, axes=axes, years_of_tile=years_of_tile), force,
+        lambda new: observation_features(new, grid, days_before, axes=axes, years_of_tile=years_of_tile),
+        force, retry_failed,
     )
 
 

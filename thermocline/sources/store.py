@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermocline.sources.tables import stored
+from thermocline.sources.batches import BatchTable
 
 KEY_COLUMNS = ("latitude", "longitude", "date", "bleach_presence")
 KEY_DIGITS = 16
@@ -32,27 +32,59 @@ def store_key(config: Mapping, df: DataFrame) -> DataFrame:
 
 
 class FeatureStore:
-    """Rows per id under ``<path>/<key>``; only ids that are not stored yet are computed."""
+    """Rows per id under ``<path>/<key>``; only ids that were not tried yet are computed.
+
+    Every call adds one batch (``BatchTable``): the new rows, and a marker for each id that gave none. A call that ends
+    half-way adds nothing; of two calls at a time, the later one leaves out the ids that the other has added.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str, id_column: str = "obs_id") -> None:
         self.spark, self.path, self.id = spark, f"{path.rstrip('/')}/{key}", id_column
+        self.batches = BatchTable(spark, self.path)
 
     def read(self) -> DataFrame | None:
-        return stored(self.spark, self.path)
-
-    def missing(self, obs: DataFrame) -> DataFrame:
-        done = self.read()
-        return obs if done is None else obs.join(done.select(self.id), self.id, "left_anti")
-
-    def compute(self, obs: DataFrame, fn: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
-        """Run ``fn`` on the observations not stored yet, append its rows and return those of ``obs``.
-
-        ``force`` recomputes and replaces the store. ``fn`` leaves out series without any value.
+        return self.batches.read()
+
+    def failed(self) -> DataFrame | None:
+        """Ids that gave no row when they were tried and have none since."""
+        tried = self.batches.read("failed")
+        return None if tried is None else tried.distinct().join(self.read().select(self.id), self.id, "left_anti")
+
+    def missing(self, obs: DataFrame, retry_failed: bool = False) -> DataFrame:
+        live = self.batches.live()
+        for kind in ("rows",) if retry_failed else ("rows", "failed"):
+            done = self.batches.read(kind, live)
+            obs = obs if done is None else obs.join(done.select(self.id), self.id, "left_anti")
+        return obs
+
+    def compute(
+        self, obs: DataFrame, fn: Callable[[DataFrame], DataFrame], force: bool = False, retry_failed: bool = False
+    ) -> DataFrame:
+        """Run ``fn`` on the observations not tried yet, add its rows and return those of ``obs``.
+
+        ``force`` recomputes and replaces the store, ``retry_failed`` tries ids again that gave no row. ``fn`` leaves out
+        series without any value.
         """
-        rows = fn(obs if force else self.missing(obs))
-        rows.write.mode("overwrite" if force else "append").parquet(self.path)
+        seen = self.batches.records()
+        new = obs if force else self.missing(obs, retry_failed)
+        record = {"rows": self.batches.stage(fn(new)), "replaces": force}
+        without = new.select(self.id).join(self.batches.staged(record["rows"]).select(self.id), self.id, "left_anti")
+        record["failed"] = self.batches.stage(without, "failed")
+        if force or not seen or not self._empty(record):
+            self.batches.commit(record, seen, lambda mine, newer: mine if force else self._others_first(mine, newer))
         return self.matrix(obs)
 
+    def _empty(self, record: Mapping) -> bool:
+        return all(self.batches.staged(record[kind], kind).isEmpty() for kind in ("rows", "failed"))
+
+    def _others_first(self, record: dict, newer: list) -> dict | None:
+        """The staged batch without ids that batches recorded meanwhile hold."""
+        theirs = self.batches.read("rows", newer).select(self.id)
+        for kind in ("rows", "failed"):
+            left = self.batches.staged(record[kind], kind).join(theirs, self.id, "left_anti")
+            record = {**record, kind: self.batches.stage(left, kind)}
+        return None if self._empty(record) else record
+
     def matrix(self, ids: DataFrame) -> DataFrame:
         """Stored rows of the given ids; ids without a row are left out."""
         done = self.read()
@@ -61,9 +93,11 @@ class FeatureStore:
         return done.join(ids.select(self.id), self.id, "left_semi")
 
     def clear(self) -> None:
+        """Replace all batches by an empty one of the same columns, so that no id counts as tried."""
         done = self.read()
         if done is not None:
-            self.spark.createDataFrame([], done.schema).write.mode("overwrite").parquet(self.path)
+            empty = self.batches.stage(self.spark.createDataFrame([], done.schema))
+            self.batches.commit({"rows": empty, "replaces": True}, self.batches.records(), lambda mine, newer: mine)
 
 
 class SeriesStore(FeatureStore):

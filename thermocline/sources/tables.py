@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.functions.missing import require_columns, without_nan
+from thermocline.sources.batches import BatchTable, read_table, stored
 
 OBSERVATIONS = (
     "obs_id bigint, year int, month int, latitude double, longitude double, "
@@ -27,9 +27,9 @@ def read_grid(
 ) -> DataFrame:
     """Daily grid of the given years and tiles (default: all), pruned by the ``patch``/``year`` folders.
 
-    A year or tile without data contributes no rows.
+    A year or tile without data contributes no rows. Of a table of finished batches, those with a record are read.
     """
-    grid = without_nan(spark.read.parquet(path))
+    grid = without_nan(read_table(spark, path))
     if years is not None:
         grid = grid.where(F.col("year").isin(*([years] if isinstance(years, int) else years)))
     return grid if patches is None else grid.where(F.col("patch").isin(*patches))
@@ -88,21 +88,30 @@ def read_by_cell(
     return spark.table(table)
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, or None when there is none yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def write_missing_years(df: DataFrame, path: str) -> None:
-    """Append the years of ``df`` that are not stored at ``path`` yet, one folder per year."""
-    done = stored(df.sparkSession, path)
-    todo = df if done is None else df.join(done.select("year").distinct(), "year", "left_anti")
-    todo.write.mode("append").partitionBy("year").parquet(path)
+    """Add the years of ``df`` that the table at ``path`` does not hold yet.
+
+    A year counts as held once the batch it came with is recorded (``BatchTable``), so a write that ended half-way is done
+    again. If another writer records a year first, its rows stand. Rows without a year are a year of their own.
+    """
+    spark = df.sparkSession
+    table = BatchTable(spark, path)
+    seen = table.records()
+    if not seen and stored(spark, path) is not None:
+        raise ValueError(f"{path} holds a table without records; give a new path and add its rows there")
+    held = {y for r in seen for y in r["years"]}
+    known = F.col("year").isin(*(held - {None})) | F.lit(None in held) & F.col("year").isNull()
+    name = table.stage(df.where(~F.coalesce(known, F.lit(False))), by_year=True)
+    staged = table.staged(name)
+    if staged is None:
+        return
+
+    def others_first(record: dict, newer: list) -> dict | None:
+        own = [y for y in record["years"] if all(y not in r["years"] for r in newer)]
+        return {**record, "years": own} if own else None
+
+    years = [r["year"] for r in staged.select("year").distinct().collect()]
+    table.commit({"rows": name, "years": years, "replaces": False}, seen, others_first)
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
