@@ -1,11 +1,13 @@
 """Cases that operators once left out: each does the whole job."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thermocline.llm import decontaminate, language, quality, toxicity
+from thermocline.llm import decontaminate, language, licenses, quality, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -105,3 +107,27 @@ def test_samples_are_the_least_hashes(spark, monkeypatch):
     language.train_tagger(docs, sample=7)
     least = [r["text"].encode() for r in docs.orderBy(F.xxhash64("text")).limit(7).collect()]
     assert len(seen[0]) == 7 and all(any(t.startswith(s) or s in t for t in least) for s in seen[0])
+
+
+def test_notices_are_found_over_line_breaks(spark):
+    rng = np.random.default_rng(4)
+    notices = list(licenses.TEMPLATES)
+    wrapped = [" ".join(prose(rng, 40 + k)) + "\n * " + "\n * ".join(" ".join(t.split()[i : i + 3]) for i in range(0, 20, 3)) + " " + " ".join(prose(rng, 90)) for k, t in enumerate(notices)]
+    apart = [w for t in notices for w in licenses._words(t)]
+    scattered = [" ".join(sum(([w, *prose(rng, 9)] for w in licenses._words(t)), [])) for t in notices]
+    mixed = [" ".join(rng.choice(apart + prose(rng, 20), 150)) for _ in range(60)] + [" ".join(rng.choice(apart, n)) for n in (1, 3, 17, 33, 34, 35, 67, 68, 69, 102, 103, 700)]
+    texts = wrapped + scattered + mixed + ["", None, "\n\n"]
+    rows = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, list(enumerate(texts)))).collect()}
+    for k, label in enumerate(licenses.TEMPLATES.values()):
+        assert label in rows[k]["labels"].split(",") and rows[k]["score"] == 1.0
+        assert rows[k + len(notices)]["score"] == 0.0
+    for k, text in enumerate(texts):  # the join equals all pairs of blocks and templates
+        words, best = re.findall(r"[a-z0-9]+", (text or "").lower()), {}
+        for template, label in licenses.TEMPLATES.items():
+            tokens, run = set(licenses._tokens(template)), 2 * len(licenses._words(template))
+            share = max((len(tokens & set(words[i : i + run])) / len(tokens) for i in range(len(words))), default=0.0)
+            if share >= licenses.CONTAINMENT:
+                best[label] = max(share, best.get(label, 0.0))
+        base = set(filter(None, rows[k]["base_labels"].split(",")))
+        assert set(filter(None, rows[k]["labels"].split(","))) == set(best) | base
+        assert rows[k]["score"] == (1.0 if base else max(best.values(), default=0.0))

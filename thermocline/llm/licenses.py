@@ -1,4 +1,4 @@
-"""License scans: phrases at word positions, and an exact set-similarity join of text lines with license templates."""
+"""License scans: phrases at word positions, and an exact set-similarity join of text blocks with license templates."""
 
 from __future__ import annotations
 
@@ -41,9 +41,12 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(lower, BETWEEN), "")
 
 
+def _words(template: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in template.lower()).split()
+
+
 def _tokens(template: str) -> list[str]:
-    clean = "".join(c if c.isascii() and c.isalnum() else " " for c in template.lower())
-    return sorted(set(clean.split()))
+    return sorted(set(_words(template)))
 
 
 def _strings(values: list[str]) -> Column:
@@ -66,52 +69,68 @@ def _places(words: Column) -> Column:
     return F.when(F.array_contains(words, "license") | F.array_contains(words, "cc"), found).otherwise(empty)
 
 
-def _ordered_blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """Lines of all texts that hold at least ``least`` template tokens; ``b`` has them in the order of ``vocabulary``."""
-    lines = F.transform(
-        F.split(F.coalesce(F.col("text"), F.lit("")), "\n"),
-        lambda line: F.array_intersect(_strings(vocabulary), license_words(line)),
-    )
-    blocks = docs.select("_row", F.posexplode(F.filter(lines, lambda b: F.size(b) >= least)).alias("block", "b"))
-    return blocks
+def _blocks(docs: DataFrame, vocabulary: list[str], least: int, run: int) -> DataFrame:
+    """Windows of ``2 * run`` words, ``run`` apart, over whole texts, so that each run of ``run`` words lies in one, over line breaks too.
 
+    ``p`` holds the template tokens of a window with their places; windows with fewer than ``least`` different ones are left out.
+    """
 
-def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """``_row``, ``label``, ``containment`` of every line whose distinct words hold that share of a template's, by an exact join.
+    def window(words: Column, k: Column) -> Column:
+        placed = F.transform(F.slice(words, k * run + 1, 2 * run), lambda w, i: F.struct(w.alias("token"), i.alias("at")))
+        return F.filter(placed, lambda p: p["token"].isin(*vocabulary))
+
+    def windows(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(words) / run).cast("int") - 2)
+        return F.transform(F.sequence(F.lit(0), last), lambda k: window(words, k))
 
-    Tokens outside all templates cannot match and are left out. The others are ordered by their number of lines in the corpus,
-    rarest first. With o the least overlap, a line must hold o template tokens (length filter), share a token of the first
-    |t| - o + 1 of the template and |b| - o + 1 of its own (prefix filter), with enough tokens left after it on both sides
-    (positional filter); the pairs that remain are verified. Templates are a parameter of some dozen rows.
+    held = F.filter(let(license_words(F.col("text")), windows), lambda p: F.size(F.array_distinct(p["token"])) >= least)
+    return docs.select("_row", F.posexplode(held).alias("block", "p"))
+
+
+def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """``_row``, ``label``, ``containment`` of every template that a block of text holds to that share, by an exact join.
+
+    A block is any run of consecutive words of a text, twice as long as the template, wherever lines break; the share is that of
+    the template's distinct words. Words outside all templates cannot match and are left out. The join is made on overlapping
+    windows that hold all blocks: their tokens are ordered by the number of windows in the corpus, rarest first. With o the
+    least overlap, a window must hold o template tokens (length filter), share a token of the first |t| - o + 1 of the template and
+    |b| - o + 1 of its own (prefix filter), with enough tokens left after it on both sides (positional filter); the pairs that
+    remain are verified, first in the window, then in its blocks. Templates are a parameter of some dozen rows.
     """
     spark = docs.sparkSession
-    sets = [(k, label, _tokens(t)) for k, (t, label) in enumerate(templates.items())]
-    overlap = {k: max(1, math.ceil(containment * len(tokens) - 1e-9)) for k, _, tokens in sets}
-    vocabulary = sorted({t for _, _, tokens in sets for t in tokens})
+    sets = [(k, label, _tokens(t), 2 * len(_words(t))) for k, (t, label) in enumerate(templates.items())]
+    overlap = {k: max(1, math.ceil(containment * len(tokens) - 1e-9)) for k, _, tokens, _ in sets}
+    vocabulary = sorted({t for _, _, tokens, _ in sets for t in tokens})
     least = min(overlap.values())
-    blocks = stored(_ordered_blocks(docs, vocabulary, least), "license-blocks")
-    counted = blocks.select(F.explode("b").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()  # template tokens only
-    often = {row["token"]: row["n"] for row in counted}
+    blocks = stored(_blocks(docs, vocabulary, least, max(run for *_, run in sets)), "license-blocks")
+    tokens_of = blocks.select(F.explode(F.array_distinct("p.token")).alias("token"))
+    often = {row["token"]: row["n"] for row in tokens_of.groupBy("token").agg(F.count("*").alias("n")).collect()}  # template tokens only
     order = sorted(vocabulary, key=lambda t: (often.get(t, 0), t))
     rank = {t: k for k, t in enumerate(order)}
     prefixes, full = [], []
-    for k, label, tokens in sets:
+    for k, label, tokens, run in sets:
         arranged = sorted(tokens, key=rank.__getitem__)
-        full.append((k, label, arranged, len(arranged), overlap[k]))
+        full.append((k, label, arranged, len(arranged), overlap[k], run))
         prefixes += [(k, t, at) for at, t in enumerate(arranged[: len(arranged) - overlap[k] + 1])]
     firsts = F.broadcast(spark.createDataFrame(prefixes, "template int, token string, t_at int"))
-    whole = F.broadcast(spark.createDataFrame(full, "template int, label string, t array<string>, t_size int, least int"))
-    arranged = blocks.withColumn("b", F.array_intersect(_strings(order), F.col("b")))
-    listed = arranged.select("_row", "block", "b", F.posexplode("b").alias("b_at", "token")).where(F.col("b_at") <= F.size("b") - least)
+    whole = F.broadcast(spark.createDataFrame(full, "template int, label string, t array<string>, t_size int, least int, run int"))
+    arranged = blocks.withColumn("b", F.array_intersect(_strings(order), F.col("p.token")))
+    listed = arranged.select("_row", "p", "b", F.posexplode("b").alias("b_at", "token")).where(F.col("b_at") <= F.size("b") - least)
     candidates = (
         listed.join(firsts, "token").join(whole, "template")
         .where(F.size("b") >= F.col("least"))
         .where(F.col("b_at") <= F.size("b") - F.col("least"))
         .where(1 + F.least(F.col("t_size") - F.col("t_at"), F.size("b") - F.col("b_at")) - 1 >= F.col("least"))
     )
-    shared = F.size(F.array_intersect("b", "t"))
+
+    def shared_from(start: Column) -> Column:
+        """Template words in the block that starts at a token of the window."""
+        ahead = F.filter("p", lambda p: (p["at"] >= start["at"]) & (p["at"] < start["at"] + F.col("run")))
+        return F.size(F.array_intersect("t", F.transform(ahead, lambda p: p["token"])))
+
+    in_window = candidates.where(F.size(F.array_intersect("b", "t")) >= F.col("least"))
     return (
-        candidates.withColumn("_shared", shared).where(F.col("_shared") >= F.col("least"))
+        in_window.withColumn("_shared", F.array_max(F.transform("p", shared_from))).where(F.col("_shared") >= F.col("least"))
         .select("_row", "label", (F.col("_shared") / F.col("t_size")).alias("containment"))
         .distinct()
     )
@@ -120,7 +139,7 @@ def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, conta
 def license_scan(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``.
 
-    ``score`` is 1 where a phrase stands and else the highest containment of a template in a line, or 0. Null and empty texts have no
+    ``score`` is 1 where a phrase stands and else the highest containment of a template in a block, or 0. Null and empty texts have no
     words and empty labels. Repeats of a row (same ``doc_id`` and text) get the same result, one row each. An empty
     table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
     """
