@@ -199,3 +199,60 @@ def test_sequence_pads_and_cuts(spark):
     df = spark.createDataFrame([(1, [(1.0,), (None,), (3.0,)]), (2, [(float(i),) for i in range(9)])], "k int, series array<struct<sst:double>>")
     got = {r["k"]: r["sequence"] for r in series.to_sequence(df, 5).collect()}
     assert got == {1: [0.0, 0.0, 1.0, 0.0, 3.0], 2: [4.0, 5.0, 6.0, 7.0, 8.0]}
+
+
+def _timed_field(spark):
+    """Three steps; the middle one lacks the row of cell (1, 1), the last one its value."""
+    rows = [
+        (dt.datetime(2001, 1, day), a, b, None if (day, a, b) == (3, 1.0, 1.0) else day * 100.0 + 10 * a + b)
+        for day in (1, 2, 3) for a in AXIS for b in AXIS if (day, a, b) != (2, 1.0, 1.0)
+    ]
+    return rows, spark.createDataFrame(rows, "time timestamp_ntz, latitude double, longitude double, v double")
+
+
+SPOTS = [(1.0, 1.0), (1.1, 0.9), (1.1, 0.9), (3.5, 2.5), (-2.0, 9.0), (None, 1.0), (2.0, None)]
+
+
+def test_timed_sampling_of_nearest_cells_equals_brute_force(spark):
+    rows, field = _timed_field(spark)
+    known = {(t, a, b): v for t, a, b, v in rows}
+    points = _points(spark, SPOTS).withColumns({"v": F.lit("clash"), "time": F.lit("clash")})
+    sampled = sampling.sample_grid(points, field, value="v")
+    assert sorted(sampled.columns) == ["latitude", "longitude", "obs_id", "time", "v"]
+    got = sorted((r["obs_id"], r["time"], r["v"]) for r in sampled.collect())
+    expected = []
+    for i, (a, b) in enumerate(SPOTS):
+        cell = None if a is None or b is None else tuple(min(AXIS, key=lambda x, v=v: (abs(x - v), x)) for v in (a, b))
+        expected += [(i, t, cell and known.get((t, *cell))) for t in sorted({r[0] for r in rows})]
+    assert got == sorted(expected)
+
+
+def test_timed_bilinear_sampling_equals_a_sample_of_each_step(spark):
+    rows, field = _timed_field(spark)
+    points = _points(spark, SPOTS)
+    got = {(r["obs_id"], r["time"]): r["v"] for r in sampling.sample_grid(points, field, "linear", value="v").collect()}
+    assert len(got) == 3 * len(SPOTS)
+    for step in sorted({r[0] for r in rows}):
+        # Missing rows stand for missing values, so that each step has all axis entries.
+        still = [(a, b, next((v for t, x, y, v in rows if (t, x, y) == (step, a, b)), None)) for a in AXIS for b in AXIS]
+        one = spark.createDataFrame(still, "latitude double, longitude double, v double")
+        for i, value in enumerate(_values(sampling.sample_grid(points, one, "linear", value="v"))):
+            assert got[i, step] == (value if value is None else pytest.approx(value))
+
+
+@pytest.mark.parametrize("method", ["nearest", "linear"])
+def test_time_steps_are_joined_to_different_cells_and_not_to_points(spark, method):
+    _, field = _timed_field(spark)
+    sampled = sampling.sample_grid(_points(spark, SPOTS), field, method, value="v")
+    lines = sampled._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [k for k, line in enumerate(lines) if "Generate explode(_steps" in line or "Generate explode(scalar" in line]
+    assert len(at) == 1
+    below = [line.lstrip(" :+-") for line in lines[at[0] + 1 : at[0] + 3]]
+    assert any(line.startswith("Aggregate [_lat") for line in below)
+
+
+@pytest.mark.parametrize("method", ["nearest", "linear"])
+def test_timed_sampling_of_empty_tables(spark, method):
+    _, field = _timed_field(spark)
+    assert sampling.sample_grid(_points(spark, SPOTS), field.limit(0), method, value="v").count() == 0
+    assert sampling.sample_grid(_points(spark, SPOTS).limit(0), field, method, value="v").count() == 0

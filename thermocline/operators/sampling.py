@@ -84,7 +84,10 @@ def sample_grid(
     """Value of a field at each point; for a field with ``time``, at each point and time step.
 
     The join is on exact cell coordinates and is left to adaptive execution: the field is broadcast
-    if its measured size allows, else both sides are shuffled and hot cells are split.
+    if its measured size allows, else both sides are shuffled and hot cells are split. A field with
+    ``time`` is first cut down to the cells that any point asks for (``wanted_series``), and the points
+    meet those by cell, so they are not repeated for all time steps before a join. Every point has a row
+    for every time step; points with a NULL coordinate have NULL values. A ``time`` or ``into`` column of the points gives way to the field's.
     """
     check_method(method)
     timed = "time" in grid.columns
@@ -93,29 +96,42 @@ def sample_grid(
         F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
         F.col(value).alias("_value"), *(["time"] if timed else []),
     )
-    on = ["_lat", "_lon", "time"] if timed else ["_lat", "_lon"]
-    steps = grid.agg(F.sort_array(F.collect_set("time"))).scalar() if timed else None
+    steps_of = ["time"] if timed else []
+    points = points.drop(into, *steps_of)
 
-    def at_each_step(placed: DataFrame) -> DataFrame:
+    def at_cells(placed: DataFrame) -> DataFrame:
         if not timed:
-            return placed
-        return placed.withColumn("_steps", steps).withColumn("time", F.explode("_steps")).drop("_steps")
+            return placed.join(field, ["_lat", "_lon"], "left")
+        series = wanted_series(placed, field).withColumnsRenamed({"_lat": "_cell_lat", "_lon": "_cell_lon"})
+        same = F.col("_lat").eqNullSafe(F.col("_cell_lat")) & F.col("_lon").eqNullSafe(F.col("_cell_lon"))
+        return placed.join(series, same)
 
     if method == "nearest":
-        placed = at_each_step(nearest_cells(points, grid))
-        sampled = placed.join(field, on, "left").drop("_lat", "_lon").withColumnRenamed("_value", into)
+        sampled = at_cells(nearest_cells(points, grid)).withColumnRenamed("_value", into)
+        sampled = sampled.select(*points.columns, *steps_of, into)
     else:
         # Weights depend on the position alone, so repeated points share one and every row gets its value.
         spots = points.select(F.col("latitude"), F.col("longitude")).distinct()
-        placed = at_each_step(corner_cells(spots, grid))
-        steps_of = ["time"] if timed else []
-        values = placed.join(field, on, "left").groupBy("latitude", "longitude", *steps_of).agg(weighted("_value").alias(into))
+        values = at_cells(corner_cells(spots, grid)).groupBy("latitude", "longitude", *steps_of).agg(weighted("_value").alias(into))
         values = values.withColumnsRenamed({"latitude": "_at_lat", "longitude": "_at_lon"})
         same = F.col("latitude").eqNullSafe(F.col("_at_lat")) & F.col("longitude").eqNullSafe(F.col("_at_lon"))
         sampled = points.join(values, same).select(*points.columns, *steps_of, into)
     return fill_samples(sampled, fill, grid, value, into)
 
 
+def wanted_series(placed: DataFrame, field: DataFrame) -> DataFrame:
+    """Every time step of the cells (``_lat``, ``_lon``) that ``placed`` names: ``_value`` is NULL where the field has no row.
+
+    The semi join leaves only rows of wanted cells, so the field itself need not be shuffled when the cells are few, and
+    what follows grows with the number of different cells and not with that of points.
+    """
+    cell = ["_lat", "_lon"]
+    wanted = placed.select(*cell).distinct()
+    steps = field.agg(F.sort_array(F.collect_set("time"))).scalar()
+    asked = wanted.withColumn("_steps", steps).withColumn("time", F.explode("_steps")).drop("_steps")
+    return asked.join(field.join(wanted, cell, "left_semi"), [*cell, "time"], "left")
+
+
 def fill_samples(df: DataFrame, strategy: str | float, grid: DataFrame, value: str = "sst", into: str | None = None) -> DataFrame:
     """Fill missing samples: ``mean`` of the whole field (per time step), ``zero``, a number or ``none``."""
     into = into or value
