@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from thermocline.operators import evaluation, models
@@ -91,3 +92,15 @@ def test_epochs_go_on_from_the_weights_before(spark, monkeypatch):
     monkeypatch.setattr(kind, "fit", fit)
     models.fit_with_patience(network, train, train, epochs=3, patience=3, iterations=1)
     assert seen[0] is None and seen[1] is not None and len(seen) == 3
+
+
+@pytest.mark.parametrize("kind", ("logistic", "random_forest"))
+def test_models_score_in_a_session_that_has_observed_metrics(spark, kind):
+    session = spark.newSession()
+    rows = [(k, *[float(k % (3 + c)) for c in range(len(models.FEATURES))], k % 2) for k in range(60)]
+    table = models.written(session.createDataFrame(rows, ["obs_id", *models.FEATURES, "bleached"]), "observed")
+    fitted = models.fit_models(table, (kind,), "bleached")[kind]
+    seen = Observation("rows")
+    session.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 5
+    assert models.predict(fitted, table).where(F.col("score").between(0, 1)).count() == 60

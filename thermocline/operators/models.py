@@ -134,7 +134,7 @@ class KernelClassifier:
             for w, centre in zip(weights, centres)
         ]
         lift = SQLTransformer(statement=f"SELECT *, {shift:.17e}D + {' + '.join(near)} AS _margin FROM __THIS__")
-        return PipelineModel(stages=[lift, judge, calibrated])
+        return without_summary(PipelineModel(stages=[lift, judge, calibrated]), train)
 
 
 def _dot(weights: np.ndarray, shift: float):
@@ -223,7 +223,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def fit_models(train: DataFrame, types: Sequence[str] = MODEL_TYPES, label: str = "label") -> dict[str, PipelineModel]:
     """Fitted pipelines by type. ``train`` is read many times by the solvers: pass a stored table."""
     labelled = train.withColumn("label", F.col(label).cast("double"))
-    return {t: classifier(t, labelled).fit(labelled) for t in types}
+    fitted = {t: classifier(t, labelled).fit(labelled) for t in types}
+    return {t: model if t == "svm" else without_summary(model, labelled) for t, model in fitted.items()}
+
+
+def without_summary(model: PipelineModel, train: DataFrame) -> PipelineModel:
+    """The model saved to the shared folder and read back, without its training summary.
+
+    The summary of a two-class fit holds the session, and a session that has observed metrics (``DataFrame.observe``) cannot be sent to tasks;
+    neither can the model's column functions then.
+    """
+    path = shared_folder(train.sparkSession, "fitted")
+    save_model(model, path)
+    return load_model(path)
 
 
 def train_models(
