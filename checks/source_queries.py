@@ -144,6 +144,13 @@ def _labelled(spark, sf):
     return filters.with_presence(dated).select("obs_id", "year", "latitude", "longitude", "date", "bleach_presence")
 
 
+def _plain_grid(spark, sf):
+    """The daily grid as a stored table: its axes and its windows are then read, not grouped anew from the lines each time."""
+    path = shared_folder(spark, "plain-grid")
+    v.grid_daily(spark, sf).select(*_GRID).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 _LABEL = "CASE WHEN min_percent_bleached >= 20 THEN 1 ELSE 0 END"
 _STORED = f"""SELECT obs_id, {_LABEL} AS bleach_presence, round(avg(sst), 8) AS mean, round(max(sst), 8) AS max
     FROM series JOIN dated USING (obs_id) {{where}} GROUP BY ALL"""
@@ -155,7 +162,7 @@ _STORED = f"""SELECT obs_id, {_LABEL} AS bleach_presence, round(avg(sst), 8) AS
     ["series", "dated"],
 )
 def feature_store(spark, sf):
-    obs, grid = _labelled(spark, sf), v.grid_daily(spark, sf).select(*_GRID)
+    obs, grid = _labelled(spark, sf), _plain_grid(spark, sf)
     kept = store.FeatureStore(spark, shared_folder(spark, "features"), "window-31")
     stored_features(obs.where("year < 1999"), grid, kept, 31)
     stored_features(obs, grid, kept, 31)
@@ -168,7 +175,7 @@ def feature_store(spark, sf):
     ["series", "dated"],
 )
 def failed_ids(spark, sf):
-    obs, grid = _labelled(spark, sf), v.grid_daily(spark, sf).select(*_GRID)
+    obs, grid = _labelled(spark, sf), _plain_grid(spark, sf)
     kept = store.FeatureStore(spark, shared_folder(spark, "features"), "window-31")
     stored_features(obs.where("year < 1999"), grid, kept, 31)
     stored_features(obs, grid, kept, 31)
@@ -181,7 +188,7 @@ def failed_ids(spark, sf):
     ["series", "dated"],
 )
 def feature_store_forced(spark, sf):
-    obs, grid = _labelled(spark, sf), v.grid_daily(spark, sf).select(*_GRID)
+    obs, grid = _labelled(spark, sf), _plain_grid(spark, sf)
     kept = store.FeatureStore(spark, shared_folder(spark, "features"), "window-31")
     stored_features(obs, grid, kept, 31)
     stored_features(obs.where("year >= 1999"), grid, kept, 31, force=True)
@@ -195,7 +202,7 @@ def feature_store_forced(spark, sf):
     ["series"],
 )
 def series_store(spark, sf):
-    obs, grid = _labelled(spark, sf), v.grid_daily(spark, sf).select(*_GRID)
+    obs, grid = _labelled(spark, sf), _plain_grid(spark, sf)
     kept = store.SeriesStore(spark, shared_folder(spark, "series"), "window-31")
 
     def build(new):

@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermocline.session import shared_folder
 from thermocline.sources.batches import BatchTable
 
 KEY_COLUMNS = ("latitude", "longitude", "date", "bleach_presence")
@@ -66,7 +67,7 @@ class FeatureStore:
         series without any value.
         """
         seen = self.batches.records()
-        new = obs if force else self.missing(obs, retry_failed)
+        new = self._asked(obs if force else self.missing(obs, retry_failed))
         record = {"rows": self.batches.stage(fn(new)), "replaces": force}
         without = new.select(self.id).join(self.batches.staged(record["rows"]).select(self.id), self.id, "left_anti")
         record["failed"] = self.batches.stage(without, "failed")
@@ -74,6 +75,12 @@ class FeatureStore:
             self.batches.commit(record, seen, lambda mine, newer: mine if force else self._others_first(mine, newer))
         return self.matrix(obs)
 
+    def _asked(self, new: DataFrame) -> DataFrame:
+        """The observations to compute, written once: ``fn`` may read them several times, and the markers need their ids again."""
+        path = shared_folder(self.spark, "asked")
+        new.write.parquet(path)
+        return self.spark.read.schema(new.schema).parquet(path)
+
     def _empty(self, record: Mapping) -> bool:
         return all(self.batches.staged(record[kind], kind).isEmpty() for kind in ("rows", "failed"))
 
