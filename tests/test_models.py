@@ -104,3 +104,12 @@ def test_models_score_in_a_session_that_has_observed_metrics(spark, kind):
     session.range(5).observe(seen, F.count("*").alias("n")).collect()
     assert seen.get["n"] == 5
     assert models.predict(fitted, table).where(F.col("score").between(0, 1)).count() == 60
+
+
+def test_kernel_model_scores_in_a_session_that_has_observed_metrics(spark):
+    session = spark.newSession()
+    rows = [(k, float(k % 7), float(k % 5), float(k % 2)) for k in range(80)]
+    table = models.written(session.createDataFrame(rows, "obs_id long, a double, b double, label double").coalesce(1), "observed")
+    fitted = models.KernelClassifier(["a", "b"], landmarks=4, folds=2, maxIter=3).fit(table)
+    session.range(5).observe(Observation("rows"), F.count("*").alias("n")).collect()
+    assert models.predict(fitted, table).where(F.col("score").between(0, 1)).count() == 80
