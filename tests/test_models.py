@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -113,3 +114,50 @@ def test_kernel_model_scores_in_a_session_that_has_observed_metrics(spark):
     fitted = models.KernelClassifier(["a", "b"], landmarks=4, folds=2, maxIter=3).fit(table)
     session.range(5).observe(Observation("rows"), F.count("*").alias("n")).collect()
     assert models.predict(fitted, table).where(F.col("score").between(0, 1)).count() == 80
+
+
+def test_solvers_read_a_table_spread_over_all_cores(spark, monkeypatch):
+    rows = [(k, *[float(k % (3 + c)) for c in range(len(models.FEATURES))], k % 2) for k in range(60)]
+    table = models.written(spark.createDataFrame(rows, ["obs_id", *models.FEATURES, "bleached"]).coalesce(1), "narrow")
+    assert table.rdd.getNumPartitions() == 1
+    seen = []
+
+    class Fit:
+        def fit(self, train):
+            seen.append((train.rdd.getNumPartitions(), train.count()))
+
+    monkeypatch.setattr(models, "classifier", lambda kind, train: Fit())
+    models.fit_models(table, ("svm",), "bleached")
+    assert seen == [(spark.sparkContext.defaultParallelism, 60)]
+
+
+def test_kernel_margins_are_fitted_in_shared_passes(spark, rings):
+    context = spark.sparkContext
+    context.setJobGroup("kernel-passes", "one fit")
+    try:
+        models.classifier("svm", rings, ["a", "b"]).fit(rings)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("kernel-passes")) < 150  # some 1,000 with a solver for each margin
+
+
+@pytest.mark.parametrize("pull", (0.0, 6.0))
+def test_margins_have_the_least_hinge_loss(spark, pull):
+    """The loss of both solvers on data by lot and nearly separated; of all rows and without a fold."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 3)) * [1.0, 0.1, 0.01]
+    label = (rng.uniform(size=1500) < 1.0 / (1.0 + np.exp(-0.2 - pull * (x[:, 0] - 8.0 * x[:, 1])))).astype(float)
+    fold = rng.integers(0, 3, 1500)
+    rows = [(r.tolist(), float(c), int(f)) for r, c, f in zip(x, label, fold)]
+    table = spark.createDataFrame(rows, "lifted array<double>, label double, fold int")
+    fits = models._fitted_margins(table, lambda batches: batches, 4, [None, 1])
+    for left_out, fit in fits.items():
+        mine = np.ones(1500, dtype=bool) if left_out is None else fold != left_out
+        part = table if left_out is None else table.where(F.col("fold") != left_out)
+        other = LinearSVC(maxIter=300, regParam=1.0 / mine.sum()).fit(part.select(array_to_vector("lifted").alias("features"), "label"))
+
+        def loss(weights, shift):
+            short = np.maximum(0.0, 1.0 - (2 * label[mine] - 1) * (x[mine] @ weights + shift))
+            return short.mean() + 0.5 / mine.sum() * ((weights * x[mine].std(axis=0, ddof=1)) ** 2).sum()
+
+        assert loss(fit[:-1], fit[-1]) < loss(other.coefficients.toArray(), other.intercept) + 2e-3
