@@ -44,6 +44,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.spaced: dict[str, int] = {}  # stretch after a space -> its number
+        self.heads: dict[str, int] = {}  # stretch at the start of a text -> its number
         self.pieces: dict[str, int] = {}  # piece of the split pattern -> its number
         self.flat, self.ends = array("H"), array("q", [0])
 
@@ -67,15 +68,34 @@ class Encoder:
             parts = self.split.findall(unit)
         if len(parts) == 1:
             return self._piece(parts[0])
-        places = [self._piece(p) for p in parts]
+        known, flat, ends = self.pieces.get, self.flat, self.ends
+        places = [self._piece(p) if (k := known(p)) is None else k for p in parts]
         for k in places:
-            self.flat.extend(self.flat[self.ends[k] : self.ends[k + 1]])
-        self.ends.append(len(self.flat))
-        return len(self.ends) - 2
-
-    def _spaced(self, word: str) -> int:
-        place = self.spaced[word] = self._piece(" " + word) if word.isalpha() else self._unit(" " + word)
-        return place
+            flat.extend(flat[ends[k] : ends[k + 1]])
+        ends.append(len(flat))
+        return len(ends) - 2
+
+    def _spaced(self, words: list[str]) -> list[int]:
+        """Numbers of the words after a space. New ones are most of the time spent, so plain words take no further call."""
+        known, pieces, flat, ends, tokenize = self.spaced, self.pieces, self.flat, self.ends, self.model.tokenize
+        places = []
+        for word in words:
+            place = known.get(word)
+            if place is None:
+                if word.isalpha():
+                    place = pieces.get(piece := " " + word)
+                    if place is None:
+                        if word.isascii():
+                            flat.extend([t.id for t in tokenize("\u0120" + word)])
+                            ends.append(len(flat))
+                            place = pieces[piece] = len(ends) - 2
+                        else:
+                            place = self._piece(piece)
+                else:
+                    place = self._unit(" " + word)
+                known[word] = place
+            places.append(place)
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (16 bits each), and how many each text has."""
@@ -88,14 +108,16 @@ class Encoder:
         offsets = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
         codes = np.asarray(coded.indices, dtype=np.int64)
-        known, new = self.spaced.get, self._spaced
-        spaced = np.array([new(w) if (k := known(w)) is None else k for w in coded.dictionary.to_pylist()], dtype=np.int64)
+        spaced = np.array(self._spaced(coded.dictionary.to_pylist()), dtype=np.int64)
         places = spaced[codes] if len(codes) else codes
         heads = offsets[:-1]
         words = coded.dictionary
         if len(heads):
-            for k, word in zip(heads, words.take(pa.array(codes[heads])).to_pylist()):
-                places[k] = self._unit(word)
+            first = self.heads
+            for k, word in zip(heads.tolist(), words.take(pa.array(codes[heads])).to_pylist()):
+                if (place := first.get(word)) is None:
+                    place = first[word] = self._unit(word)
+                places[k] = place
         ends, flat = np.array(self.ends, dtype=np.int64), np.array(self.flat, dtype=np.uint16)
         starts, sizes = ends[places], ends[places + 1] - ends[places]
         done = np.concatenate([[0], np.cumsum(sizes)])
