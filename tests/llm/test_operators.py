@@ -119,6 +119,49 @@ def test_token_files_equal_the_library(spark, docs):
     assert [r["ids_crc32"] for r in path_rows] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
 
 
+def test_encoder_equals_the_library_whatever_it_forgets(monkeypatch):
+    rng = np.random.default_rng(3)
+    units = ["word", "Word,", "end.", "two\nlines", "\u00e9t\u00e9,", "\u6f22\u5b57", "it's", "a1b2", "--", "'s", "x" * 300, "tab\there", "\u01c5\u0531.", "e\u0301,", "don't!", "\u00a0", "<|", "end.\n'm", "\u0967\u0968;", ".", "\n", "\r", "CAPS!!", "\U0001f600?"]
+    texts = [" ".join(rng.choice(units, rng.integers(1, 12))) for _ in range(400)] + [None, "", " ", "\n", "a", ".", "\n.", "\u0130x, y", "one\ntwo,\nthree"]
+    for known, held in ((1_000_000, 1 << 26), (10, 1 << 26), (1_000_000, 64), (0, 0)):
+        monkeypatch.setattr(tokenize, "MOST_KNOWN", known)
+        monkeypatch.setattr(tokenize, "MOST_BYTES", held, raising=False)
+        encoder = tokenize.Encoder(tokenize.vocabulary_path())
+        want = [e.ids for e in encoder.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        for at in range(0, len(texts), 7):
+            ids, counts = encoder.encode(pa.array(texts[at : at + 7], pa.string()))
+            assert counts.tolist() == [len(w) for w in want[at : at + 7]]
+            assert ids.tolist() == [i for w in want[at : at + 7] for i in w]
+
+
+def test_encoder_knows_many_stretches_and_asks_for_none_twice():
+    encoder, asked = tokenize.Encoder(tokenize.vocabulary_path()), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            asked.append(piece)
+            return self.model.tokenize(piece)
+
+    encoder.model = Counted(encoder.model)
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, row)) for row in rng.integers(97, 123, (200_000, 6))]
+    first, _ = encoder.encode(pa.array(["start " + " ".join(words)]))
+    asked.clear()
+    again, _ = encoder.encode(pa.array(["start " + " ".join(words)]))
+    assert again.tolist() == first.tolist() and not asked
+
+
+def test_texts_are_sliced_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["aaaa", None, "bbbb", "ccccc", "d" * 30, "", "e"])], names=["text"])
+    assert [s.num_rows for s in token_files._slices(batch)] == [4, 1, 2]
+    assert [s.num_rows for s in token_files._slices(batch.slice(0, 4))] == [3, 1] and not list(token_files._slices(batch.slice(0, 0)))
+    assert [r for s in token_files._slices(batch) for r in s.column("text").to_pylist()] == batch.column("text").to_pylist()
+
+
 def brute_statistics(text):
     found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen = Counter(zip(found, found[1:], found[2:]))

@@ -77,7 +77,8 @@ class Coder:
             words.append((s[:, ::-1][flipped] & np.uint64(0xFFFFFFFF)).astype("<u4"))
             rows.append(flipped.sum(axis=1))
             s = np.where(out, s >> WORD_BITS, s)
-            state[:, : part.shape[1]] = ((s // freq) << scale) + (s % freq) + first
+            whole = s // freq
+            state[:, : part.shape[1]] = (whole << scale) + (s - whole * freq) + first
         counts = np.array(rows)
         owner = np.concatenate([np.repeat(np.arange(n), c) for c in counts]) if len(counts) else np.zeros(0, int)
         every = np.concatenate(words) if words else np.zeros(0, "<u4")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,13 +49,24 @@ FRAMES = T.StructType(
     ]
 )
 DOCUMENTS = "part int, key long, before long, n_tokens long, ids_crc32 long"
-SLICE = 4096  # texts that are encoded together
+SLICE = 12 << 20  # bytes of the texts that are encoded together
 
 
 def _lists(rows: list) -> pa.Array:
     return pa.array([np.asarray(r, dtype=np.int64) for r in rows], type=pa.list_(pa.int64()))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with equal shares of the batch's bytes of text, ``SLICE`` at most and what the last text has beyond."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    parts = max(1, -(-int(ends[-1]) // SLICE))
+    cuts = np.unique([0, *(np.searchsorted(ends, ends[-1] / parts * np.arange(1, parts)) + 1), batch.num_rows])
+    for at, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield batch.slice(at, stop - at)
+
+
 def _tokens(path: str, end_id: int):
     """Task code: texts of one partition, in order, to rows of about FRAME ids."""
 
@@ -71,8 +83,7 @@ def _tokens(path: str, end_id: int):
 
         part = -1
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            for batch in _slices(whole):
                 part = batch.column("part")[0].as_py()
                 found, counts = encoder.encode(batch.column("text"))
                 ends = np.cumsum(counts)
@@ -81,6 +92,7 @@ def _tokens(path: str, end_id: int):
                 lengths.append(counts + 1)
                 ids.append(with_end)
                 held += len(with_end)
+                pa.default_memory_pool().release_unused()  # what Arrow keeps for later would count beside the next stage's memory
                 if held >= FRAME:
                     yield row(part)
                     first += held
