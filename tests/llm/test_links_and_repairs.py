@@ -92,6 +92,29 @@ def test_chosen_paths_edges(spark):
         ("5", "5", True), ("5", "5", True), ("None", "5", False), ("None", "None", True)]
 
 
+def test_next_level_moves_the_tokens_of_large_nodes_only(spark, monkeypatch):
+    """The join that fetches tokens is given little more than the classes that branch on, however many others there are."""
+    for name, value in (("FEW", 2), ("SMALL", 20), ("TINY", 8), ("MOST_LEVELS", 2)):
+        monkeypatch.setattr(chosen_path, name, value)
+    kind, joined = type(spark.range(0)), []
+    join = kind.join
+
+    def counted(self, other, on=None, how=None):
+        if isinstance(on, str) and on == "node" and "tokens" in other.columns:
+            joined.append((self.select("node").distinct().count(), other.select("node").count()))
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(kind, "join", counted)
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(3000)]
+    notice = " ".join(rng.choice(words, 150))
+    texts = [notice + " " + " ".join(rng.choice(words, 20)) for _ in range(40)] + [" ".join(rng.choice(words, 30)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = chosen_path.similar_components(docs).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in rows] == brute_components(texts)[0]
+    assert joined and all(wanted <= moved <= wanted + 30 for wanted, moved in joined)
+
+
 def test_trees_reach_the_recall():
     rng, trees = np.random.default_rng(1), chosen_path._trees(0.85, 0.9999)
     assert 5 <= trees <= 12

@@ -279,13 +279,13 @@ def _named(df: DataFrame, suffix: str, keep: tuple[str, ...] = ("at",)) -> DataF
     return df.select(*keep, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in keep])
 
 
-def _likely(read: DataFrame, rows: DataFrame) -> DataFrame:
-    """``read`` without most of the rows whose ``row`` is not in ``rows``, and with all that are.
+def _likely(read: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``read`` without most of the rows whose ``key`` is not in ``rows``, and with all that are.
 
-    A bit table of fixed size is broadcast: the bit of a hash of each wanted row is set. The more rows are wanted, the fewer others it
+    A bit table of fixed size is broadcast: the bit of a hash of each wanted key is set. The more keys are wanted, the fewer others it
     leaves out; the join that follows is exact.
     """
-    slot = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     bits = rows.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")
     )
@@ -296,6 +296,11 @@ def _likely(read: DataFrame, rows: DataFrame) -> DataFrame:
     return named.join(table, "_bucket").where(held).drop("_slot", "_bucket", "_bits")
 
 
+def _with_tokens(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of large nodes with their classes' tokens. Tokens are half a kilobyte a class, so those of other classes are left out before the join."""
+    return large.join(_likely(sketches, large, "node"), "node")
+
+
 class _Texts:
     """Texts of classes. Fetching some passes over all stored texts, so classes that are asked for again are not fetched again."""
 
@@ -307,7 +312,7 @@ class _Texts:
         missing = nodes if self.held is None else stored(nodes.join(self.held.select("node"), "node", "left_anti"), "path-missing")
         if self.held is None or not missing.isEmpty():
             rows = stored(self.rows.join(missing, "node", "left_semi"), "path-missing-rows")
-            found = stored(_likely(self.read, rows).join(rows, "row").drop("row"), "path-texts")
+            found = stored(_likely(self.read, rows, "row").join(rows, "row").drop("row"), "path-texts")
             self.held = found if self.held is None else self.held.union(found)
         return self.held
 
@@ -424,7 +429,7 @@ def class_roots(classes: DataFrame, read: DataFrame, width: int, similarity: flo
         links = links.union(_in_tasks(small, texts, width, similarity))
         if large.isEmpty():
             break
-        posted = _shared(large.join(sketches, "node").mapInArrow(branch, POSTED), "path-level")
+        posted = _shared(_with_tokens(large, sketches).mapInArrow(branch, POSTED), "path-level")
     links = links.union(_links(stored(pairs.distinct(), "path-pairs"), texts, width, similarity))
     return stored(components(links, "path-components"), "path-roots")
 
